@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, quality
+from . import exact_dedup, line_dedup, mixing, packing, quality, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.OP2_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op5_mixing": mixing.OP5_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
