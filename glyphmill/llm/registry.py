@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, secret_scan
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, secret_scan
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op4_near_dup": near_dup.op4_near_dup,
         "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
