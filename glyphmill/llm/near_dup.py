@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .shared import components, discard, written
 
 WORDS = 5
@@ -80,6 +81,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, set_key, keys): 128 bits of the set, and the hash of each collection, first family first."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
+
     def run(batches):
         import xxhash
 

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .shared import written
 
 LENGTH = 2048
@@ -150,6 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
+
     def run(batches):
         import zlib
 
