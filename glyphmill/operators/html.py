@@ -1,0 +1,162 @@
+"""Masks, emitted markup and the rules that write HTML."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.rx import CLOSE, OPEN, chain, fixpoint, java, let, match_map, sub
+
+#: Names of block-level elements and of elements whose content stays as it is.
+BLOCK_TAGS = (
+    "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu nav "
+    "noscript ol optgroup option p pre script section select style summary table tbody td template textarea tfoot th thead title tr ul"
+).split()
+SAFE_TAGS = "script style textarea pre code kbd samp var tt".split()
+STYLES = {
+    "nowrap": "white-space:nowrap;", "oa_obracket_sp_s": "margin-right:0.3em;", "oa_obracket_sp_b": "margin-left:-0.3em;", "oa_obracket_nl_b": "margin-left:-0.3em;",
+    "oa_oquote_nl": "margin-left:-0.44em;", "oa_oquote_sp_s": "margin-right:0.44em;", "oa_oquote_sp_q": "margin-left:-0.44em;",
+}
+#: What is masked as a sequence, in order.
+_B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+URL = _B + r"(?:(?:https?|ftps?|mailto):(?:\/{1,3}|[a-z0-9%])|www\d{0,3}[.]|[a-z0-9.-]{1,253}[.][a-z]{2,24}\/)[^\s<>\"'`]*[^\s`!\[\]{};:'\".,<>?«»“”‘’]".replace('\\"', '"')
+EMAIL = r"(?=[^\s@]{0,254}@)[\p{L}0-9!#$%&'*+/=?^_`{|}~.-]+@[\p{L}0-9.-]+\.[\p{L}0-9-]{2,}"
+UUID = r"(?<![a-zA-Z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![a-zA-Z0-9])"
+IPV6 = r"(?<![a-zA-Z0-9])\[?(?:[0-9a-fA-F]{1,4}:){1,7}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*)?\]?(?::\d{1,5})?(?:\/\d{1,3})?(?![a-zA-Z0-9])"
+_HOST = "http://glyphmill-xyz/"
+_ATTRS = r"(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+".replace('\\"', '"')
+ELEMENT = rf"(?is)<({'|'.join(SAFE_TAGS)})(?=[\s/>]){_ATTRS}>.*?</\1\s*>"
+COMMENT = r"(?s)<!--(?:-?>|.*?-->)"
+NOTG = r"(?is)<notg>.*?</notg>"
+TAG = rf"(?s)</?[a-zA-Z](?:{_ATTRS})>|<[!?][^>]*>"
+
+
+def _masked(c: Column, pattern: str, token, keep=lambda h: h) -> Column:
+    """struct<text, vault>: matches of a Java pattern replaced by token(match, index), and what they held."""
+    empty = F.array().cast("array<string>")
+
+    def bound(s: Column) -> Column:
+        parts, hits = s["parts"], s["hits"]
+        text = F.concat(F.array_join(F.transform(hits, lambda h, i: F.concat(F.get(parts, i), token(h, i))), ""), F.element_at(parts, -1))
+        return F.struct(text.alias("text"), F.transform(hits, keep).alias("vault"))
+
+    def whole(x: Column) -> Column:
+        found = let(F.struct(F.split(x, pattern, -1).alias("parts"), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("hits")), bound)
+        return F.when(x.rlike(pattern), found).otherwise(F.struct(x.alias("text"), empty.alias("vault")))
+
+    return let(c, whole)
+
+
+def _excess(h: Column) -> Column:
+    """Closing brackets at the end of an address that nothing in it opens."""
+    count = lambda s: F.length(h) - F.length(F.replace(h, F.lit(s), F.lit("")))
+    trailing = F.length(h) - F.length(F.regexp_replace(h, r"\)+\z", ""))
+    return F.greatest(F.lit(0), F.least(trailing, count(")") - count("(")))
+
+
+def _body(h: Column) -> Column:
+    return h.substr(F.lit(1), F.length(h) - _excess(h))
+
+
+MASKS = {
+    "url": lambda c: _masked(c, java(URL, True), lambda h, i: F.concat(F.lit(_HOST + "A0SAFE"), i.cast("string"), F.lit("ID"), F.repeat(F.lit(")"), _excess(h))), _body),
+    "email": lambda c: _masked(c, java(EMAIL, True), lambda h, i: F.concat(F.lit("A1SAFE"), i.cast("string"), F.lit("ID@glyphmill.xyz"))),
+    "uuid": lambda c: _masked(c, java(UUID), lambda h, i: F.concat(F.lit("AuSAFE"), i.cast("string"), F.lit("TK"))),
+    "ipv6": lambda c: _masked(c, java(IPV6), lambda h, i: F.concat(F.lit("AvSAFE"), i.cast("string"), F.lit("TK"))),
+    "comment": lambda c: _masked(c, COMMENT, lambda h, i: F.concat(F.lit(f"{OPEN}H"), i.cast("string"), F.lit(CLOSE))),
+    "element": lambda c: _masked(c, ELEMENT, lambda h, i: F.concat(F.lit(f"{OPEN}N"), i.cast("string"), F.lit(CLOSE))),
+    "notg": lambda c: _masked(c, NOTG, lambda h, i: F.concat(F.lit(f"{OPEN}W"), i.cast("string"), F.lit(CLOSE)), lambda h: F.regexp_replace(h, "(?i)</?notg>", "")),
+    "tag": lambda c: _masked(c, TAG, _tag_token, lambda h: F.regexp_replace(h, r"(?s)\A</?|>\z", "")),
+}
+
+
+def _tag_token(h: Column, i: Column) -> Column:
+    name = F.lower(F.regexp_extract(h, r"\A</?([a-zA-Z][^\s/>]*)", 1))
+    kind = F.when(name == "a", "A").when(name.isin(*BLOCK_TAGS), "L").otherwise("T")
+    return F.concat(F.when(h.startswith("</"), f"</{OPEN}").otherwise(f"<{OPEN}"), kind, i.cast("string"), F.lit(f"{CLOSE}>"))
+
+
+def _restored(c: Column, pattern: str, vault: Column, wrap=lambda h, v: v) -> Column:
+    """Tokens of a Java pattern back to what the vault holds at their number; unknown numbers stay."""
+    number = lambda h: F.regexp_extract(h, r"(\d+)(?:\x{E001}>?|ID(?:@glyphmill\.xyz)?|TK)\z", 1).cast("int")
+    body = lambda h, left, right: F.coalesce(wrap(h, F.get(vault, number(h))), h)
+    return F.when(F.size(vault) > 0, match_map(pattern, body, translate=False)(c)).otherwise(c)
+
+
+def restore(kind: str, c: Column, vault: Column) -> Column:
+    if kind == "url":
+        c = _restored(c, r"http://glyphmill-xyz/A0SAFE\d+ID", vault)
+        return _restored(c, r"glyphmill-xyz/A0SAFE\d+ID", vault, lambda h, v: F.regexp_replace(v, r"\A[^:]+://", ""))
+    if kind == "email":
+        return _restored(c, r"A1SAFE\d+ID@glyphmill\.xyz", vault)
+    if kind in ("uuid", "ipv6"):
+        return _restored(c, rf"A{'u' if kind == 'uuid' else 'v'}SAFE\d+TK", vault)
+    if kind == "tag":
+        return _restored(c, rf"</?{OPEN}[TAL]\d{{1,6}}{CLOSE}>", vault, lambda h, v: F.concat(F.when(h.startswith("</"), "</").otherwise("<"), v, F.lit(">")))
+    letter = {"comment": "H", "element": "N", "notg": "W", "md": "F", "xml": "B"}[kind]
+    return _restored(c, rf"{OPEN}{letter}\d+{CLOSE}", vault)
+
+
+def emitted(c: Column, layout: str = "style", nowrap: str = "span", prefix: str = "") -> Column:
+    """Tokens of markup that rules wrote, back to tags."""
+    from .rules import TOKENS
+
+    def tags(x: Column) -> Column:
+        for kind, (start, end) in TOKENS.items():
+            if kind in ("small", "sub", "sup"):
+                a, b = f"<{kind}>", f"</{kind}>"
+            elif kind == "nowrap" and nowrap == "nobr":
+                a, b = "<nobr>", "</nobr>"
+            else:
+                attrs = (f' class="{prefix}{kind}"' if layout in ("class", "both") else "") + (f' style="{STYLES[kind]}"' if layout in ("style", "both") else "")
+                a, b = f"<span{attrs}>", "</span>"
+            x = F.replace(F.replace(x, F.lit(f"<{start}>"), F.lit(a)), F.lit(f"</{end}>"), F.lit(b))
+        return x
+
+    return let(c, lambda x: F.when(x.contains(OPEN), tags(x)).otherwise(x))
+
+
+def autolink(ctx):
+    """Addresses become links whose text is the address without its scheme; a final period or unbalanced bracket stays outside."""
+    pattern = r"(?<=\s|^)(?:http|ftp|mailto|https):\/\/[^\s,!<>\"'\u{E000}\u{E001}\u{E100}\u{E101}]{4,}(?=\s|\.|,|!|\?|<|$)".replace('\\"', '"')
+
+    def body(h, left, right):
+        core = F.regexp_replace(h, r"\.+\z", "")
+        core = core.substr(F.lit(1), F.length(core) - _excess(core))
+        tail = h.substr(F.length(core) + 1, F.length(h))
+        return F.concat(F.lit('<a href="'), core, F.lit('">'), F.regexp_replace(core, r"\A[a-zA-Z]+://", ""), F.lit("</a>"), tail)
+
+    return match_map(pattern, body)
+
+
+def email(ctx):
+    return sub(r"(?<=\s|^|\()([a-z0-9\-_.]{2,}@[a-z0-9\-.]{2,}\.[a-z]{2,6})(?=\)|\s|\.|,|!|\?|$|<)", '<a href="mailto:$1">$1</a>')
+
+
+_POP, _PCL, _BR = "\ue100POP\ue101", "\ue100PCL\ue101", "\ue100BR\ue101"
+_L = rf"</?{OPEN}L\d+{CLOSE}>"
+
+
+def paragraphs(ctx):
+    """Blank lines part paragraphs; stretches with block-level markup of the author's stay as they are."""
+
+    def run(c: Column) -> Column:
+        wrap = lambda p: F.when((F.regexp_replace(p, r"\s", "") == "") | p.rlike(_L), p).otherwise(F.concat(F.lit(_POP), p, F.lit(_PCL)))
+        return F.array_join(F.transform(F.split(c, "\n{2,}"), wrap), "\n\n")
+
+    return run
+
+
+def breakline(ctx):
+    """Single line ends become breaks, but not beside block-level tags, paragraph marks or another break."""
+    return sub(rf"(?<!\n)(?<!{_PCL})(?<!{_BR})(?<!{OPEN}L\d{{1,6}}{CLOSE}>)\n(?!\n)(?!{_POP})(?!{_L})", f"{_BR}\n", False)
+
+
+def restore_paragraphs(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit(_POP), F.lit("<p>")), F.lit(_PCL), F.lit("</p>")), F.lit(_BR), F.lit("<br>"))
+
+
+def unwrap(c: Column) -> Column:
+    """Paragraph tags directly around a block-level element go."""
+    names = "|".join(n for n in BLOCK_TAGS if n not in ("p", "br"))
+    return fixpoint(chain([lambda x: F.regexp_replace(x, rf"(?is)<p>\s*(<(?:{names})\b)", "$1"), lambda x: F.regexp_replace(x, rf"(?is)(</(?:{names})>)\s*</p>", "$1")]), 20)(c)

@@ -1,0 +1,74 @@
+"""Masks by kind: sequences, markup, template delimiters, Markdown and XML constructs, and safe elements of the user's own."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.rx import CLOSE, OPEN
+from . import html
+
+#: Delimiters of template dialects. Strings inside a delimiter may hold its closer.
+_STRINGS = r"(?:\"[^\"\n]*\"|'[^'\n]*'|(?!%s)[\s\S]){0,8192}?".replace('\\"', '"')
+_PAIRS = {
+    "handlebars": [("{{{", "}}}"), ("{{!--", "--}}"), ("{{", "}}")], "mustache": [("{{{", "}}}"), ("{{", "}}")],
+    "twig": [("{{", "}}"), ("{%", "%}"), ("{#", "#}")], "jinja": [("{{", "}}"), ("{%", "%}"), ("{#", "#}")], "nunjucks": [("{{", "}}"), ("{%", "%}"), ("{#", "#}")],
+    "liquid": [("{{", "}}"), ("{%", "%}")], "erb": [("<%", "%>")],
+}
+
+
+def template_pattern(dialect: str) -> str:
+    return "|".join(re.escape(a) + _STRINGS % re.escape(b) + re.escape(b) for a, b in _PAIRS[dialect])
+
+
+#: Markdown constructs that stay as they are, in order of precedence: fenced code, indented code after a blank line, code spans, autolinks, reference
+#: definitions, link destinations, reference labels, line prefixes and hard breaks.
+MARKDOWN = "|".join([
+    r"(?m:^[ \t>]*(`{3,}|~{3,})[^\n]*\n(?s:.*?)(?:^[ \t>]*\1[`~]*[ \t]*$|\z))",
+    r"(?<=\n\n|\A)(?:(?: {4}|\t)[^\n]*(?:\n(?=(?: {4}|\t))|\n(?=\n+(?: {4}|\t))|$)|\n(?=(?: {4}|\t)))+",
+    r"(?<!`)(`+)(?!`)(?:(?!\n\s*\n)[\s\S])*?(?<!`)\2(?!`)",
+    r"<(?:https?|ftp|mailto):[^<>\s]*>",
+    r"(?m:^ {0,3}\[(?!\^)[^\]\n]+\]:[ \t]*\S+(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^)\n]*\)))?[ \t]*$)".replace('\\"', '"'),
+    r"(?<=\])\((?:[^()\n\\]|\\.|\([^()\n]*\)){0,8192}\)",
+    r"(?<=\])\[[^\]\n]*\]",
+    r"(?m:^[ \t]*(?:(?:>|[-*+]|\d{1,9}[.)])[ \t]+|#{1,6}[ \t]+|>)+)",
+    r"[ ]{2,}(?=\n)",
+])
+XML = "|".join([r"<!\[CDATA\[(?s:.*?)\]\]>", r"<\?(?s:.*?)\?>", r"<!DOCTYPE(?:[^\[>]|\[[^\]]*\])*>", r"<([A-Za-z_:][^\s/>]*)(?=[^>]*\bxml:space\s*=\s*[\"']preserve[\"'])[^>]*(?<!/)>(?s:.*?)</\1\s*>".replace('\\"', '"'), r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"])
+
+
+def _block(pattern: str, letter: str):
+    return lambda c: html._masked(c, pattern, lambda h, i: F.concat(F.lit(f"{OPEN}{letter}"), i.cast("string"), F.lit(CLOSE)))
+
+
+def _letter(kind: str) -> str:
+    """Distinct letters per kind, so that each vault restores its own tokens."""
+    if kind.startswith("block:"):
+        return "Ng" + "abcdefghij"[int(kind[6:])]
+    if kind.startswith("safe:"):
+        return "Ns" + kind[5:].replace("-", "").lower()
+    return {"template": "Nt", "md": "F", "xml": "B"}[kind]
+
+
+def mask(kind: str, cfg, blocks) -> callable:
+    if kind in html.MASKS:
+        return html.MASKS[kind]
+    if kind == "template":
+        return _block(template_pattern(cfg.template), _letter(kind))
+    if kind == "md":
+        return _block(MARKDOWN, _letter(kind))
+    if kind == "xml":
+        return _block(XML, _letter(kind))
+    if kind.startswith("block:"):
+        a, b = blocks[int(kind[6:])]
+        return _block(rf"(?s)(?<={re.escape(a)}).*?(?={re.escape(b)})", _letter(kind))
+    tag = re.escape(kind[5:])
+    return _block(rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", _letter(kind))
+
+
+def restore(kind: str, c: Column, vault: Column) -> Column:
+    if kind in html.MASKS:
+        return html.restore(kind, c, vault)
+    return html._restored(c, rf"{OPEN}{_letter(kind)}\d+{CLOSE}", vault)
