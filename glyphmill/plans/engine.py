@@ -55,49 +55,47 @@ class Typesetter:
         return chain(steps) if steps else None
 
     def _fragment(self, df: DataFrame, col: str, destination: str) -> DataFrame:
-        """Masks to restored text, in place, for a column of document or value texts."""
-        cfg = self.config
+        """Masks to restored text, in place. For the destination "value" the column is an array of values and every step runs over its elements, still inside the row."""
+        cfg, many = self.config, destination == "value"
+        each = (lambda f: F.transform(F.col(col), f)) if many else (lambda f: f(F.col(col)))
         kinds = ["url", "email", "uuid", "ipv6"]
-        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, [])
-        kinds += ["comment", "element", "notg", "tag"]
         if cfg.template:
-            kinds.insert(4, "template")
-        kinds[4:4] = [f"block:{k}" for k in range(len(self.safe_blocks))] + [f"safe:{t}" for t in self.safe_tags]
+            kinds.append("template")
+        kinds += [f"block:{k}" for k in range(len(self.safe_blocks))] + [f"safe:{t}" for t in self.safe_tags]
+        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["comment", "element", "notg", "tag"]
         kept = [c for c in df.columns if c != col]
         done = []
         for n, kind in enumerate(kinds):
-            mask = masks.mask(kind, cfg, self.safe_blocks)
-            df = df.withColumn("_g_m", mask(F.col(col)))
-            df = df.select(*kept, *[f"_g_v{i}" for i in done], F.col("_g_m.text").alias(col), F.col("_g_m.vault").alias(f"_g_v{n}"))
+            df = df.withColumn("_g_m", each(masks.mask(kind, cfg, self.safe_blocks)))
+            part = (lambda name: F.transform("_g_m", lambda m: m[name])) if many else (lambda name: F.col("_g_m")[name])
+            df = df.select(*kept, *[f"_g_v{i}" for i in done], part("text").alias(col), part("vault").alias(f"_g_v{n}"))
             done.append(n)
-        df = df.withColumn(col, glyphs.newlines(glyphs.decode(F.col(col))))
+
+        def restored(frame: DataFrame, n: int) -> DataFrame:
+            one = lambda t, v: masks.restore(kinds[n], t, v)
+            return frame.withColumn(col, F.zip_with(col, f"_g_v{n}", one) if many else one(F.col(col), F.col(f"_g_v{n}")))
+
+        df = df.withColumn(col, each(lambda c: glyphs.newlines(glyphs.decode(c))))
         for group in self.order:
             if group == "quote":
                 on = frozenset(r.split(".")[1] for r in self.enabled if r.startswith("quote."))
                 if on:
                     ctx = cfg.context()
-                    df = df.withColumn(col, quotes.quotes_udf(on, ctx.nested, ctx.inch)(F.col(col)))
+                    df = df.withColumn(col, quotes.quotes_udf(on, ctx.nested, ctx.inch, many)(F.col(col)))
                 continue
             step = self._group(group)
             if step is not None:
-                df = df.withColumn(col, step(F.col(col)))
-        c = F.col(col)
-        if cfg.entities and destination in ("html", "markdown"):
-            c = glyphs.encode_html(c)
-        elif cfg.entities and destination == "xml":
-            c = glyphs.encode_xml(c)
+                df = df.withColumn(col, each(step))
+        encode = {"html": glyphs.encode_html, "markdown": glyphs.encode_html, "xml": glyphs.encode_xml}.get(destination)
+        if cfg.entities and encode:
+            df = df.withColumn(col, each(encode))
         if cfg.html and destination in ("html", "markdown"):
-            c = html.restore_paragraphs(c)
-        c = html.emitted(c, cfg.layout(), cfg.context().nowrap, cfg.context().prefix)
-        df = df.withColumn(col, c)
-        for n, kind in reversed(list(enumerate(kinds))):
-            if kind == "tag" and destination in ("html",):
-                df = df.withColumn(col, masks.restore(kind, F.col(col), F.col(f"_g_v{n}")))
-                if cfg.html:
-                    df = df.withColumn(col, html.unwrap(F.col(col)))
-                df = df.withColumn(col, glyphs.trim(F.col(col)))
-            else:
-                df = df.withColumn(col, masks.restore(kind, F.col(col), F.col(f"_g_v{n}")))
+            df = df.withColumn(col, each(html.restore_paragraphs))
+            df = df.withColumn(col, each(lambda c: html.emitted(c, cfg.layout(), cfg.context().nowrap, cfg.context().prefix)))
+        for n in reversed(done):
+            df = restored(df, n)
+            if kinds[n] == "tag" and destination == "html":
+                df = df.withColumn(col, glyphs.trim(html.unwrap(F.col(col)) if cfg.html else F.col(col)))
         return df.drop(*[f"_g_v{i}" for i in done])
 
     # --- public ---
