@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, secret_scan, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, secret_scan, substring_dedup, toxicity, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_warc": warc.op8_warc,
+        "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
