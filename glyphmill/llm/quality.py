@@ -4,7 +4,7 @@ Each rule has a measure and a bound. On a bounded sample the operator estimates
 by rejection per cost. The verdict is one nested CASE in that order, so a document that an early cheap rule rejects never reaches the dear ones. The order changes cost only, never the verdict.
 
 Native DataFrame operations only and no shuffle: everything about a document is computed in its own row. Repeated five-word windows are found by
-64-bit window hashes; only documents with a repeated hash sort theirs.
+64-bit hashes of word hashes; only documents with a repeated hash sort theirs.
 
 Defined results: a null text has no words and fails the base; an empty table gives an empty table; extra columns are carried along unless they begin with "_q_".
 """
@@ -63,7 +63,8 @@ def _measures() -> dict[str, str]:
 def _repeated() -> str:
     """Words covered by windows whose hash occurs twice or more: sort (hash, place) where any hash repeats, keep places beside an equal hash, add up their cover."""
     k = WINDOW
-    hashes = f"transform(sequence(1, size(_q_words) - {k - 1}), i -> xxhash64(slice(_q_words, i, {k})))"
+    # word hashes first: an element of an array costs the same at any length, a slice costs the whole array
+    hashes = f"transform(array(transform(_q_words, x -> xxhash64(x))), w -> transform(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(k))})))[0]"
     # one-element arrays bind an expensive value once
     order = "sort_array(transform(h, (x, i) -> struct(x as h, i as p)))"
     hits = "filter(transform(s, (x, i) -> case when x.h = get(s, i - 1).h or x.h = get(s, i + 1).h then x.p end), p -> p is not null)"
@@ -100,17 +101,19 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     return sorted(found, key=lambda x: (-x["share"] / (x["cost"] - floor), x["cost"]))
 
 
-def cascade(order: list[Rule], names: dict[str, str] | None = None) -> Column:
-    """Name of the first rule that rejects, else null; later rules aren't evaluated then."""
-    names = names or _measures()
-    return F.expr("case " + " ".join(f"when {_condition(r, names)} then '{r.name}'" for r in order) + " end")
+def cascade(order: list[Rule], names: dict[str, str]) -> str:
+    """SQL for the name of the first rule that rejects, else null; later rules aren't evaluated then."""
+    return "case " + " ".join(f"when {_condition(r, names)} then '{r.name}'" for r in order) + " end"
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs with rejected_by: the first rule of the cascade that rejects the row, or null."""
     order = [x["rule"] for x in plan_cascade(docs, rules, text_col)]
-    out = with_words(docs, text_col).withColumn("rejected_by", cascade(order))
-    return out.drop("_q_text", "_q_words")
+    # text and words are bound inside the expression: a filter on the verdict is pushed down with it, and names of columns would be replaced by what computes them
+    names = {k: v.replace("_q_text", "q.t").replace("_q_words", "q.w") for k, v in _measures().items()}
+    bound = F.array(F.struct(whole_text(text_col).alias("t"), words(whole_text(text_col)).alias("w")))
+    docs = docs.withColumn("_q_bound", bound)
+    return docs.withColumn("rejected_by", F.expr(f"transform(_q_bound, q -> {cascade(order, names)})[0]")).drop("_q_bound")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -122,7 +125,7 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     rows = with_words(docs).select("doc_id", *[F.expr(v).alias(k) for k, v in m.items()])
     known = {k: k for k in m}
     base = " or ".join(f"({_condition(r, known)})" for r in RULES if r.name in BASE_RULES)
-    judged = rows.withColumn("base_failed", F.expr(base)).withColumn("kept", ~F.col("base_failed") & cascade(order, known).isNull())
+    judged = rows.withColumn("base_failed", F.expr(base)).withColumn("kept", ~F.col("base_failed") & F.expr(cascade(order, known)).isNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
