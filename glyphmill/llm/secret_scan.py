@@ -32,6 +32,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]{4,}$"
 #: Mean log-likelihood ratio per character from which a token is a secret.
 THRESHOLD = 0.4
+#: Weight of the single-character model in the identifiers' model.
+BACK_OFF = 8.0
 #: Bound of the labelled sample: so many rows with a base value, and as many rows of words.
 SAMPLE_ROWS = 2000
 
@@ -62,19 +64,22 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     d = docs.select(F.col(text_col).alias("text"))
     hit = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{HEX_MIN},}}")
     secrets = with_base(d.where(hit).limit(sample_rows)).select(F.explode("_s_base.v").alias("s"), F.lit(1).alias("label"))
-    plain = d.where("text is not null").limit(sample_rows).select(F.explode(F.array_distinct(words(F.col("text")))).alias("s")).where(F.col("s").rlike(IDENTIFIER)).withColumn("label", F.lit(0))
+    plain = d.where("text is not null").limit(sample_rows).select(F.explode(F.array_distinct(words(F.col("text")))).alias("s")).where(F.col("s").rlike(IDENTIFIER))
+    # long tokens with digits are what is to be judged, so they are no samples of ordinary identifiers
+    plain = plain.where(~((F.length("s") >= 16) & F.col("s").rlike("[0-9]"))).withColumn("label", F.lit(0))
     place = lambda at: F.expr(f"instr('{ALPHABET}', substr(s, {at}, 1))")
     grams = secrets.union(plain.select("s", "label")).where("length(s) > 1").withColumn("i", F.explode(F.expr("sequence(1, length(s) - 1)")))
     counts = grams.select("label", place("i").alias("a"), place("i + 1").alias("b")).where("a > 0 and b > 0").groupBy("label", "a", "b").count().collect()
     n = len(ALPHABET)
-    table = {0: [0.1] * (n * n), 1: [1.0] * (n * n)}
+    random, plain_ = [1.0] * (n * n), [0.0] * (n * n)
     for r in counts:
-        table[r["label"]][(r["a"] - 1) * n + r["b"] - 1] += r["count"]
+        (random if r["label"] else plain_)[(r["a"] - 1) * n + r["b"] - 1] += r["count"]
+    # after a character that identifiers don't show, their model falls back on how often each character occurs in them at all
+    once = [0.5 + sum(plain_[b::n]) for b in range(n)]
     out = []
     for a in range(n):
-        rows = [table[k][a * n : (a + 1) * n] for k in (0, 1)]
-        sums = [sum(r) for r in rows]
-        out += [math.log(rows[1][b] / sums[1]) - math.log(rows[0][b] / sums[0]) for b in range(n)]
+        x, y = random[a * n : (a + 1) * n], plain_[a * n : (a + 1) * n]
+        out += [math.log(x[b] / sum(x)) - math.log((y[b] + BACK_OFF * once[b] / sum(once)) / (sum(y) + BACK_OFF)) for b in range(n)]
     return out
 
 
