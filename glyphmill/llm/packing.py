@@ -24,6 +24,7 @@ LENGTH = 2048
 #: Patterns of three lengths take their shortest from multiples of length / THIRD.
 THIRD = 32
 STEPS = 300
+SHARES = (1.0, 0.6, 0.3)
 
 
 def patterns(hist: np.ndarray) -> np.ndarray:
@@ -69,13 +70,20 @@ def fit(pats: np.ndarray, hist: np.ndarray, steps: int = STEPS) -> np.ndarray:
 
 
 def plan_packing(hist: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """(lengths of a sequence, how many such sequences), ...; and the number of sequences. hist[n]: pieces of length n, n from 0 to the sequence length; hist[0] is ignored."""
-    left = [int(x) for x in hist]
-    left[0] = 0
+    """(lengths of a sequence, how many such sequences), ...; and the number of sequences. hist[n]: pieces of length n, n from 0 to the sequence length; hist[0] is ignored.
+
+    The fitted counts are rounded whole and scaled down by SHARES, which leaves more or less to the residual packing, and the plan with the fewest sequences is taken.
+    """
+    first = [0, *(int(x) for x in hist[1:])]
+    pats = patterns(np.array(first))
+    x = fit(pats, np.array(first))
+    return min((_rounded(first, pats, share * x) for share in SHARES), key=lambda plan: plan[1])
+
+
+def _rounded(first: list[int], pats: np.ndarray, x: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    left = list(first)
     top = len(left) - 1
     done: dict[tuple[int, ...], int] = defaultdict(int)
-    pats = patterns(np.array(left))
-    x = fit(pats, np.array(left))
     for k in np.argsort(-x, kind="stable"):
         times = int(round(x[k]))
         if times < 1:
