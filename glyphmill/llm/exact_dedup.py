@@ -19,16 +19,31 @@ from pyspark.sql import functions as F
 
 from .shared import discard, whole_text, work_dir, written
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB on the executors' disks and as change logs in the checkpoint; preallocation would cost each small store megabytes.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Rows that aren't hits are mostly told apart before their texts are shuffled.
+_BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+
+
+def _set(spark: SparkSession, conf: dict[str, str | None]) -> dict[str, str | None]:
+    """Sets (None: unsets) and returns what was there."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return before
 
 
 def normalised(col: str = "text"):
     return F.translate(whole_text(col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more) -> DataFrame:
     body = normalised().cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n_bytes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n_bytes"), *more)
 
 
 def stream_state(spark: SparkSession, path: str, schema, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,14 +65,12 @@ def stream_state(spark: SparkSession, path: str, schema, checkpoint: str, files_
         # rewriting a batch's own folder makes a replay after a failure harmless
         batch.select("digest", "n_bytes", F.col("row.doc_id").alias("keep_id"), F.col("row.locator").alias("locator"), "group_size").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    before = _set(spark, _STATE)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        _set(spark, before)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(sink)
     shape = "digest string, n_bytes int, keep_id long, locator string, group_size long"
@@ -76,12 +89,14 @@ def dedup_exact(spark: SparkSession, path: str, checkpoint: str | None = None, f
     keyed = _keyed(docs)
     found = keyed.join(state, ["digest", "n_bytes"])
     hits = state.where("group_size > 1")
-    # full bytes: the text that stays, once per hit, against every other row of its group
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
-    keepers = hits.select("keep_id", "digest", "n_bytes").join(texts, F.col("keep_id") == texts["doc_id"]).select("digest", "n_bytes", F.col("norm").alias("keep_norm"), "keep_id")
-    body = F.col("norm").cast("binary")
-    with_text = texts.withColumn("digest", F.sha2(body, 256)).withColumn("n_bytes", F.octet_length(body))
-    odd = written(with_text.join(keepers, ["digest", "n_bytes"]).where("doc_id <> keep_id and norm <> keep_norm").select("digest", "n_bytes").distinct())
+    # full bytes: whole texts of hits are grouped by equality, once a task before they are shuffled; a digest with two texts is a false hit
+    with_text = _keyed(docs, normalised().alias("norm"))
+    before = _set(spark, _BLOOM)
+    try:
+        whole = with_text.join(hits.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes", "norm").agg(F.count(F.lit(1)).alias("n"))
+        odd = written(whole.groupBy("digest", "n_bytes").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest", "n_bytes"))
+    finally:
+        _set(spark, before)
     plain = found
     if odd.head(1):  # texts that differ under one digest: regroup those digests' rows by whole text
         plain = found.join(odd, ["digest", "n_bytes"], "left_anti")
