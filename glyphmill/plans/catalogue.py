@@ -14,7 +14,10 @@ _NUMBERS = {"n": "100 + o_orderkey % 900", "t": "10 + o_orderkey % 50", "d": "1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores where it has fewer splits than that: rules are work on the CPU, and a small file is one split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _sentence(template: str) -> Column:
