@@ -28,6 +28,7 @@ _ATTRS = r"(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+".replace('\\"', '"')
 ELEMENT = rf"(?is)<({'|'.join(SAFE_TAGS)})(?=[\s/>]){_ATTRS}>.*?</\1\s*>"
 COMMENT = r"(?s)<!--(?:-?>|.*?-->)"
 NOTG = r"(?is)<notg>.*?</notg>"
+INDENT = r"(?<=[\n\r]|\A)[ \t]++(?=[^\n\r])"
 TAG = rf"(?s)</?[a-zA-Z](?:{_ATTRS})>|<[!?][^>]*>"
 
 
@@ -65,6 +66,7 @@ MASKS = {
     "ipv6": lambda c: _masked(c, java(IPV6), lambda h, i: F.concat(F.lit("AvSAFE"), i.cast("string"), F.lit("TK"))),
     "comment": lambda c: _masked(c, COMMENT, lambda h, i: F.concat(F.lit(f"{OPEN}H"), i.cast("string"), F.lit(CLOSE))),
     "element": lambda c: _masked(c, ELEMENT, lambda h, i: F.concat(F.lit(f"{OPEN}N"), i.cast("string"), F.lit(CLOSE))),
+    "indent": lambda c: _masked(c, INDENT, lambda h, i: F.concat(F.lit(f"{OPEN}D"), i.cast("string"), F.lit(CLOSE))),
     "notg": lambda c: _masked(c, NOTG, lambda h, i: F.concat(F.lit(f"{OPEN}W"), i.cast("string"), F.lit(CLOSE)), lambda h: F.regexp_replace(h, "(?i)</?notg>", "")),
     "tag": lambda c: _masked(c, TAG, _tag_token, lambda h: F.regexp_replace(h, r"(?s)\A</?|>\z", "")),
 }
@@ -93,10 +95,21 @@ def restore(kind: str, c: Column, vault: Column) -> Column:
         return _restored(c, rf"A{'u' if kind == 'uuid' else 'v'}SAFE\d+TK", vault)
     if kind == "tag":
         return _restored(c, rf"</?{OPEN}[TAL]\d{{1,6}}{CLOSE}>", vault, lambda h, v: F.concat(F.when(h.startswith("</"), "</").otherwise("<"), v, F.lit(">")))
-    letter = {"comment": "H", "element": "N", "notg": "W", "md": "F", "xml": "B"}[kind]
+    letter = {"comment": "H", "element": "N", "indent": "D", "notg": "W", "md": "F", "xml": "B"}[kind]
     return _restored(c, rf"{OPEN}{letter}\d+{CLOSE}", vault)
 
 
+def lift_indents(c: Column) -> Column:
+    """Each masked indent waits on a line of its own while the rules run, so that its content opens a line for them."""
+    return F.regexp_replace(c, rf"\n({OPEN}D\d+{CLOSE})", "\n$1\n")
+
+
+def settle_indents(c: Column, vault: Column) -> Column:
+    """Lifted indents back in front of their content as white space; one whose line break a rule took stays masked."""
+    body = lambda h, left, right: F.concat(F.lit("\n"), F.coalesce(F.get(vault, F.regexp_extract(h, r"(\d+)", 1).cast("int")), F.substring(h, 2, 20)))
+    return F.when(F.size(vault) > 0, match_map(rf"\n{OPEN}D\d+{CLOSE}\n", body, translate=False)(c)).otherwise(c)
+
+
 def emitted(c: Column, layout: str = "style", nowrap: str = "span", prefix: str = "") -> Column:
     """Tokens of markup that rules wrote, back to tags."""
     from .rules import TOKENS

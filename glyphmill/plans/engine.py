@@ -62,7 +62,7 @@ class Typesetter:
         if cfg.template:
             kinds.append("template")
         kinds += [f"block:{k}" for k in range(len(self.safe_blocks))] + [f"safe:{t}" for t in self.safe_tags]
-        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["comment", "element", "notg", "tag"]
+        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["comment", "element", *["indent"] * (destination == "html"), "notg", "tag"]
         kept = [c for c in df.columns if c != col]
         done = []
         for n, kind in enumerate(kinds):
@@ -76,7 +76,12 @@ class Typesetter:
             return frame.withColumn(col, F.zip_with(col, f"_g_v{n}", one) if many else one(F.col(col), F.col(f"_g_v{n}")))
 
         df = df.withColumn(col, each(lambda c: glyphs.newlines(glyphs.decode(c))))
+        indents = F.col(f"_g_v{kinds.index('indent')}") if "indent" in kinds else None
+        if indents is not None:
+            df = df.withColumn(col, html.lift_indents(F.col(col)))
         for group in self.order:
+            if group == "text" and indents is not None:
+                df = df.withColumn(col, html.settle_indents(F.col(col), indents))
             if group == "quote":
                 on = frozenset(r.split(".")[1] for r in self.enabled if r.startswith("quote."))
                 if on:
@@ -86,6 +91,8 @@ class Typesetter:
             step = self._group(group)
             if step is not None:
                 df = df.withColumn(col, each(step))
+        if indents is not None:
+            df = df.withColumn(col, html.settle_indents(F.col(col), indents))
         encode = {"html": glyphs.encode_html, "markdown": glyphs.encode_html, "xml": glyphs.encode_xml}.get(destination)
         if cfg.entities and encode:
             df = df.withColumn(col, each(encode))
@@ -132,9 +139,10 @@ class Typesetter:
         return df.withColumn(out, F.col("_g_in")).drop("_g_in", "_g_error")
 
     def _with_indent(self, df: DataFrame, col: str) -> DataFrame:
-        """The indent of the first line with content is put back after the trim."""
-        indent = F.regexp_extract(col, r"\A(?:[ \t]*\n)*([ \t]*)(?=[^ \t\n])", 1)
-        df = df.withColumn("_g_indent", indent)
+        """The indent of the first line with content is taken out and put back after the trim; those of the other lines are masked."""
+        edge = glyphs.SPACE_CLASS
+        first = rf"\A((?:[{edge}]*[\n\r])?)([ \t]*)(?=[^{edge}])"
+        df = df.withColumn("_g_indent", F.regexp_extract(col, first, 2)).withColumn(col, F.regexp_replace(col, first, "$1"))
         df = self._fragment(df, col, "html")
         return df.withColumn(col, F.when(F.col(col) == "", F.col(col)).otherwise(F.concat("_g_indent", col))).drop("_g_indent")
 

@@ -104,3 +104,11 @@ def test_no_shuffle(spark):
     rows = spark.createDataFrame([("x",)], "text string")
     plan = Typesetter(Config()).transform(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_line_indents_stay(spark):
+    verse = "\n  Стих  один\n\t\tвторой - да\n \n    «третий»   1"
+    assert run(spark, verse, rules={"*": False, "space.collapse_spaces": True}) == "  Стих один\n\t\tвторой - да\n \n    «третий» 1"
+    assert run(spark, "а\r\n   - б\r   в  г") == "а\n   — б\n   в г".replace("— ", f"—{NB}")
+    got = run(spark, "<ul>\n    <li>5-6  к</li>\n    <li\n      class='x'>в</li>\n</ul>", html=True)
+    assert "\n    <li>5–6 к</li>\n    <li\n      class='x'>в</li>\n</ul>" in got
