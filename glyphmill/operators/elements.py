@@ -1,0 +1,155 @@
+"""Elements whose content stays as it is, found by a scan of tags and a stack for each name, and what an HTML document leaves open to its end."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.rx import CLOSE, OPEN
+from .html import SAFE_TAGS
+
+#: Elements that end at their first closer, and elements that show nothing.
+RAW_TAGS, HIDDEN_TAGS = frozenset(("script", "style", "textarea")), frozenset(("script", "style"))
+#: Where a text may hold a tag or comment at all.
+HINT = "<[a-zA-Z/!?]"
+
+_S = r" \t\n\r\f"
+_START = re.compile(r"</?[a-zA-Z!?]")
+_NAME = re.compile(rf"</?([a-zA-Z][^{_S}/>]*)")
+_END = re.compile(rf"[^{_S}/>]*+(?:[{_S}/]++|[^{_S}/>][^=/>]*+(?:=[{_S}]*+(?:\"[^\"]*+\"|'[^']*+'|[^{_S}>\"'][^{_S}>]*+|(?=>))|(?!=)))*+>")
+_NOTG = re.compile(r"<notg(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?>[\s\S]*?</notg>", re.I)
+
+
+def _inside(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether `at` lies in one of the ascending, disjoint [start, end)."""
+    k = bisect_right(spans, (at, float("inf"))) - 1
+    return k >= 0 and at < spans[k][1]
+
+
+def _scan(text: str, raw: frozenset[str]) -> tuple[dict[str, list[tuple[int, int, bool]]], int, list[int]]:
+    """Per name the (start, end, opens) of its tags; the start of a tag that never ends or -1; the starts of comments that never end."""
+    tags: dict[str, list[tuple[int, int, bool]]] = {}
+    left_open: list[int] = []
+    absent: set[str] = set()
+    n, at, dashes = len(text), 0, 0
+    while m := _START.search(text, at):
+        start = m.start()
+        if text.startswith("<!--", start):
+            empty = re.compile(r"-?>").match(text, start + 4)
+            if empty:
+                at = empty.end()
+                continue
+            if -1 < dashes < start + 4:
+                dashes = text.find("-->", start + 4)
+            if dashes == -1:
+                left_open.append(start)
+                at = start + 1
+            else:
+                at = dashes + 3
+            continue
+        if text[m.end() - 1] in "!?":
+            end = text.find(">", start) + 1
+        else:
+            found = _END.match(text, m.end() - 1)
+            end = found.end() if found else 0
+        if not end:
+            return tags, start, left_open
+        at = end
+        named = _NAME.match(text, start, end)
+        if named:
+            name, opens = named[1].lower(), text[start + 1] != "/"
+            if opens or not text[named.end() : end - 1].strip(" \t\n\r\f"):
+                tags.setdefault(name, []).append((start, end, opens))
+            if opens and name in raw and name not in absent:
+                closer = re.compile(rf"</{name}(?=[{_S}/>])", re.I).search(text, end)
+                if closer:
+                    at = closer.start()
+                else:
+                    absent.add(name)
+    return tags, -1, left_open
+
+
+def _pairs(events: list[tuple[int, int, bool]], raw: bool) -> tuple[list[tuple[int, int]], int]:
+    """Outermost elements, and the start of the outermost one that is never closed or -1. A raw one ends at its first closer."""
+    found, stack = [], []
+    for start, end, opens in events:
+        if opens:
+            if not (raw and stack):
+                stack.append(start)
+        elif stack:
+            first = stack.pop()
+            if not stack:
+                found.append((first, end))
+    return found, stack[0] if stack else -1
+
+
+def protected(text: str, extra: tuple[str, ...] = (), xml: bool = False, document: bool = False) -> list[tuple[int, int, str]]:
+    """Disjoint (start, end, letter) in order: N closed elements, and in a document one E or G (shows nothing) from what is left open to the end."""
+    raw = frozenset() if xml else RAW_TAGS
+    tags, unended, comments = _scan(text, raw)
+    cover: list[tuple[int, int]] = []
+    opaque = [m.span() for m in _NOTG.finditer(text)] if document else []
+    firsts: list[tuple[int, int, str]] = []
+    for name in (*SAFE_TAGS, *(t.lower() for t in extra)):
+        events = [e for e in tags.get(name, ()) if not _inside(cover, e[0])]
+        if xml or name not in SAFE_TAGS:  # a slash ends an element there
+            events = [e for e in events if not (e[2] and text[e[1] - 2] == "/")]
+        found, first = _pairs(events, name in raw)
+        if first >= 0 and opaque:
+            first = _pairs([e for e in events if not _inside(opaque, e[0])], name in raw)[1]
+        if first >= 0:
+            firsts.append((first, 1, "G" if name in HIDDEN_TAGS else "E"))
+        if found:
+            inner = [c for c in cover if not _inside(found, c[0])]
+            cover = sorted(inner + found)
+    out = [(s, e, "N") for s, e in cover]
+    if document:
+        firsts += [(c, 0, "E") for c in comments[:] if not _inside(opaque, c)]
+        if unended >= 0 and not _inside(opaque, unended):
+            firsts.append((unended, 2, "G"))
+        firsts = [f for f in firsts if not _inside(cover, f[0])]
+        if firsts:
+            at, _, letter = min(firsts)
+            out = [c for c in out if c[0] < at] + [(at, len(text), letter)]
+    return out
+
+
+def masked(text: str, *how) -> tuple[str, list[str]]:
+    parts, vault, at = [], [], 0
+    for start, end, letter in protected(text, *how):
+        parts += [text[at:start], f"{OPEN}{letter}{len(vault)}{CLOSE}"]
+        vault.append(text[start:end])
+        at = end
+    return "".join(parts) + text[at:], vault
+
+
+def mask(df, col: str, out: str, extra: tuple[str, ...], xml: bool, document: bool, many: bool):
+    """df with out: struct<text, vault> of the text, or an array of them. Only texts that may hold a tag go to Python."""
+    kind = "text string, vault array<string>"
+
+    def one(t):
+        text, vault = masked(t, extra, xml, document) if t is not None else (None, [])
+        return {"text": text, "vault": vault}
+
+    if many:
+
+        def run(values: pd.Series) -> pd.Series:
+            return values.map(lambda ts: None if ts is None else [one(t) for t in ts])
+
+        scan = F.pandas_udf(run, f"array<struct<{kind.replace(' string', ':string').replace(' array', ':array')}>>").asNondeterministic()
+        may: Column = F.exists(col, lambda t: F.coalesce(t.rlike(HINT), F.lit(False)))
+        plain = F.transform(col, lambda t: F.struct(t.alias("text"), F.array().cast("array<string>").alias("vault")))
+    else:
+
+        def run(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(t) for t in texts], columns=["text", "vault"])
+
+        scan = F.pandas_udf(run, kind).asNondeterministic()
+        may = F.col(col).rlike(HINT)
+        plain = F.struct(F.col(col).alias("text"), F.array().cast("array<string>").alias("vault"))
+    df = df.withColumn("_g_may", F.when(may, F.col(col))).withColumn("_g_found", scan("_g_may"))
+    return df.withColumn(out, F.when(F.col("_g_may").isNull(), plain).otherwise(F.col("_g_found"))).drop("_g_may", "_g_found")

@@ -25,7 +25,6 @@ UUID = r"(?<![a-zA-Z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 IPV6 = r"(?<![a-zA-Z0-9])\[?(?:[0-9a-fA-F]{1,4}:){1,7}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*)?\]?(?::\d{1,5})?(?:\/\d{1,3})?(?![a-zA-Z0-9])"
 _HOST = "http://glyphmill-xyz/"
 _ATTRS = r"(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+".replace('\\"', '"')
-ELEMENT = rf"(?is)<({'|'.join(SAFE_TAGS)})(?=[\s/>]){_ATTRS}>.*?</\1\s*>"
 COMMENT = r"(?s)<!--(?:-?>|.*?-->)"
 NOTG = r"(?is)<notg>.*?</notg>"
 INDENT = r"(?<=[\n\r]|\A)[ \t]++(?=[^\n\r])"
@@ -65,7 +64,6 @@ MASKS = {
     "uuid": lambda c: _masked(c, java(UUID), lambda h, i: F.concat(F.lit("AuSAFE"), i.cast("string"), F.lit("TK"))),
     "ipv6": lambda c: _masked(c, java(IPV6), lambda h, i: F.concat(F.lit("AvSAFE"), i.cast("string"), F.lit("TK"))),
     "comment": lambda c: _masked(c, COMMENT, lambda h, i: F.concat(F.lit(f"{OPEN}H"), i.cast("string"), F.lit(CLOSE))),
-    "element": lambda c: _masked(c, ELEMENT, lambda h, i: F.concat(F.lit(f"{OPEN}N"), i.cast("string"), F.lit(CLOSE))),
     "indent": lambda c: _masked(c, INDENT, lambda h, i: F.concat(F.lit(f"{OPEN}D"), i.cast("string"), F.lit(CLOSE))),
     "notg": lambda c: _masked(c, NOTG, lambda h, i: F.concat(F.lit(f"{OPEN}W"), i.cast("string"), F.lit(CLOSE)), lambda h: F.regexp_replace(h, "(?i)</?notg>", "")),
     "tag": lambda c: _masked(c, TAG, _tag_token, lambda h: F.regexp_replace(h, r"(?s)\A</?|>\z", "")),
@@ -95,7 +93,7 @@ def restore(kind: str, c: Column, vault: Column) -> Column:
         return _restored(c, rf"A{'u' if kind == 'uuid' else 'v'}SAFE\d+TK", vault)
     if kind == "tag":
         return _restored(c, rf"</?{OPEN}[TAL]\d{{1,6}}{CLOSE}>", vault, lambda h, v: F.concat(F.when(h.startswith("</"), "</").otherwise("<"), v, F.lit(">")))
-    letter = {"comment": "H", "element": "N", "indent": "D", "notg": "W", "md": "F", "xml": "B"}[kind]
+    letter = {"comment": "H", "element": "[NEG]", "indent": "D", "notg": "W", "md": "F", "xml": "B"}[kind]
     return _restored(c, rf"{OPEN}{letter}\d+{CLOSE}", vault)
 
 
@@ -150,6 +148,17 @@ _POP, _PCL, _BR = "\ue100POP\ue101", "\ue100PCL\ue101", "\ue100BR\ue101"
 _L = rf"</?{OPEN}L\d+{CLOSE}>"
 
 
+def _before_tail(layout):
+    """layout over the text in front of what is left open to the end; nothing is written inside or behind that."""
+    tail = rf"(?s)(?<!\s)\s*{OPEN}[EG]\d+{CLOSE}.*\z"
+
+    def run(c: Column) -> Column:
+        split = lambda x: let(F.regexp_replace(x, tail, ""), lambda head: F.concat(layout(head), F.substr(x, F.length(head) + 1)))
+        return let(c, lambda x: F.when(x.rlike(tail), split(x)).otherwise(layout(x)))
+
+    return run
+
+
 def paragraphs(ctx):
     """Blank lines part paragraphs; stretches with block-level markup of the author's stay as they are."""
 
@@ -157,12 +166,12 @@ def paragraphs(ctx):
         wrap = lambda p: F.when((F.regexp_replace(p, r"\s", "") == "") | p.rlike(_L), p).otherwise(F.concat(F.lit(_POP), p, F.lit(_PCL)))
         return F.array_join(F.transform(F.split(c, "\n{2,}"), wrap), "\n\n")
 
-    return run
+    return _before_tail(run)
 
 
 def breakline(ctx):
     """Single line ends become breaks, but not beside block-level tags, paragraph marks or another break."""
-    return sub(rf"(?<!\n)(?<!{_PCL})(?<!{_BR})(?<!{OPEN}L\d{{1,6}}{CLOSE}>)\n(?!\n)(?!{_POP})(?!{_L})", f"{_BR}\n", False)
+    return _before_tail(sub(rf"(?<!\n)(?<!{_PCL})(?<!{_BR})(?<!{OPEN}L\d{{1,6}}{CLOSE}>)\n(?!\n)(?!{_POP})(?!{_L})", f"{_BR}\n", False))
 
 
 def restore_paragraphs(c: Column) -> Column:

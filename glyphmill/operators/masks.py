@@ -47,8 +47,6 @@ def _letter(kind: str) -> str:
     """Distinct letters per kind, so that each vault restores its own tokens."""
     if kind.startswith("block:"):
         return "Ng" + "abcdefghij"[int(kind[6:])]
-    if kind.startswith("safe:"):
-        return "Ns" + kind[5:].replace("-", "").lower()
     return {"template": "Nt", "md": "F", "xml": "B"}[kind]
 
 
@@ -61,14 +59,11 @@ def mask(kind: str, cfg, blocks) -> callable:
         return _block(MARKDOWN, _letter(kind))
     if kind == "xml":
         return _block(XML, _letter(kind))
-    if kind.startswith("block:"):
-        a, b = blocks[int(kind[6:])]
-        return _block(rf"(?s)(?<={re.escape(a)}).*?(?={re.escape(b)})", _letter(kind))
-    tag = re.escape(kind[5:])
-    return _block(rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", _letter(kind))
+    a, b = blocks[int(kind[6:])]
+    return _block(rf"(?s)(?<={re.escape(a)}).*?(?={re.escape(b)})", _letter(kind))
 
 
 def restore(kind: str, c: Column, vault: Column) -> Column:
-    if kind in html.MASKS:
+    if kind in html.MASKS or kind == "element":
         return html.restore(kind, c, vault)
     return html._restored(c, rf"{OPEN}{_letter(kind)}\d+{CLOSE}", vault)

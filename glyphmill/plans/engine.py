@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glyphs
 from ..functions.rx import chain
-from ..operators import html, masks, quotes
+from ..operators import elements, html, masks, quotes
 from ..operators.rules import GROUPS, RULES
 from ..ship import ship
 from .config import Config
@@ -61,12 +61,15 @@ class Typesetter:
         kinds = ["url", "email", "uuid", "ipv6"]
         if cfg.template:
             kinds.append("template")
-        kinds += [f"block:{k}" for k in range(len(self.safe_blocks))] + [f"safe:{t}" for t in self.safe_tags]
-        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["comment", "element", *["indent"] * (destination == "html"), "notg", "tag"]
+        kinds += [f"block:{k}" for k in range(len(self.safe_blocks))]
+        kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["element", "comment", *["indent"] * (destination == "html"), "notg", "tag"]
         kept = [c for c in df.columns if c != col]
         done = []
         for n, kind in enumerate(kinds):
-            df = df.withColumn("_g_m", each(masks.mask(kind, cfg, self.safe_blocks)))
+            if kind == "element":
+                df = elements.mask(df, col, "_g_m", tuple(self.safe_tags), destination == "xml", destination == "html", many)
+            else:
+                df = df.withColumn("_g_m", each(masks.mask(kind, cfg, self.safe_blocks)))
             part = (lambda name: F.transform("_g_m", lambda m: m[name])) if many else (lambda name: F.col("_g_m")[name])
             df = df.select(*kept, *[f"_g_v{i}" for i in done], part("text").alias(col), part("vault").alias(f"_g_v{n}"))
             done.append(n)
