@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glyphs
 from ..functions.rx import chain
-from ..operators import elements, html, masks, quotes
+from ..operators import elements, html, masks, quotes, reserved
 from ..operators.rules import GROUPS, RULES
 from ..ship import ship
 from .config import Config
@@ -49,7 +49,7 @@ class Typesetter:
     # --- pieces of the plan ---
     def _group(self, group: str | RuleGroup) -> Callable[[Column], Column] | None:
         if isinstance(group, RuleGroup):
-            return chain([*group.steps, _scrub])
+            return chain([*group.steps])
         ctx = self.config.context()
         steps = [r.step(ctx) for r in RULES if r.group == group and r.id in self.enabled]
         return chain(steps) if steps else None
@@ -63,6 +63,9 @@ class Typesetter:
             kinds.append("template")
         kinds += [f"block:{k}" for k in range(len(self.safe_blocks))]
         kinds += {"markdown": ["md"], "xml": ["xml"]}.get(destination, []) + ["element", "comment", *["indent"] * (destination == "html"), "notg", "tag"]
+        df = df.withColumn("_g_r", each(reserved.pairs))
+        swap = lambda back: F.zip_with(col, "_g_r", lambda t, p: reserved.swap(t, p, back)) if many else reserved.swap(F.col(col), F.col("_g_r"), back)
+        df = df.withColumn(col, swap(False))
         kept = [c for c in df.columns if c != col]
         done = []
         for n, kind in enumerate(kinds):
@@ -93,7 +96,11 @@ class Typesetter:
                 continue
             step = self._group(group)
             if step is not None:
-                df = df.withColumn(col, each(step))
+                if isinstance(group, RuleGroup):  # what it returns may hold no marks that it wasn't given
+                    df = df.withColumn("_g_b", F.col(col)).withColumn(col, each(step))
+                    df = df.withColumn(col, reserved.scrub_udf(many)("_g_b", col)).drop("_g_b")
+                else:
+                    df = df.withColumn(col, each(step))
         if indents is not None:
             df = df.withColumn(col, html.settle_indents(F.col(col), indents))
         encode = {"html": glyphs.encode_html, "markdown": glyphs.encode_html, "xml": glyphs.encode_xml}.get(destination)
@@ -106,7 +113,7 @@ class Typesetter:
             df = restored(df, n)
             if kinds[n] == "tag" and destination == "html":
                 df = df.withColumn(col, glyphs.trim(html.unwrap(F.col(col)) if cfg.html else F.col(col)))
-        return df.drop(*[f"_g_v{i}" for i in done])
+        return df.withColumn(col, swap(True)).drop("_g_r", *[f"_g_v{i}" for i in done])
 
     # --- public ---
     def transform(self, df: DataFrame, col: str = "text", out: str = "typeset", status: str | None = None) -> DataFrame:
@@ -116,6 +123,9 @@ class Typesetter:
         too_long = glyphs.utf16_length(F.col(col)) > cfg.max_input_length
         df = df.withColumn("_g_error", F.when(too_long, F.lit("input too long")))
         df = df.withColumn("_g_in", F.when(~too_long, F.col(col)))
+        if cfg.format not in ("json", "yaml", "toml", "frontmatter"):  # there values are escaped one by one
+            df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(reserved.exhausted(F.col("_g_in")), F.lit(reserved.EXHAUSTED))))
+            df = df.withColumn("_g_in", F.when(F.col("_g_error").isNull(), F.col("_g_in")))
         if cfg.format in ("json", "yaml", "toml"):
             from ..sources import structured
 
@@ -169,10 +179,5 @@ class Typesetter:
         return spark.createDataFrame(rows, "position int, group string, id string, default_enabled boolean, html_only boolean, cycled boolean, enabled boolean")
 
 
-def _scrub(c: Column) -> Column:
-    """What a group of the user's own returns keeps no paragraph marks that it could have forged."""
-    return F.regexp_replace(c, "[\\x{E100}\\x{E101}]", "")
-
-
 def typeset(df: DataFrame, col: str = "text", out: str = "typeset", **config) -> DataFrame:
     return Typesetter(Config(**config)).transform(df, col, out)

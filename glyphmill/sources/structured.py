@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import reserved
 from . import scan
 
 SPAN = "struct<start:int,end:int,is_key:boolean,eligible:boolean,delim:string,path:array<string>,raw:string>"
@@ -106,7 +107,9 @@ def typeset_values(engine, df: DataFrame, col: str) -> DataFrame:
     cfg = engine.config
     df = df.withColumn("_g_scan", scan_udf(cfg.format)(F.col(col)))
     df = df.withColumn("_g_error", F.coalesce("_g_error", F.col("_g_scan.error"))).withColumn("_g_spans", chosen(F.col("_g_scan.spans"), cfg.fields, cfg.exclude)).drop("_g_scan")
-    df = df.withColumn("_g_old", _values_udf(cfg.format)(F.col("_g_spans"))).withColumn("_g_new", F.col("_g_old"))
+    df = df.withColumn("_g_old", _values_udf(cfg.format)(F.col("_g_spans")))
+    df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(F.exists("_g_old", reserved.exhausted), F.lit(reserved.EXHAUSTED))))
+    df = df.withColumn("_g_spans", F.when(F.col("_g_error").isNull(), F.col("_g_spans"))).withColumn("_g_new", F.when(F.col("_g_error").isNull(), F.col("_g_old")))
     df = engine._fragment(df, "_g_new", "value")
     # a column named twice is computed before the call and not inside its arguments
     return df.withColumn(col, _splice_udf(cfg.format)(F.col(col), F.col("_g_spans"), F.col("_g_old"), F.col("_g_new"), F.col("_g_new"))).drop("_g_spans", "_g_old", "_g_new")
@@ -133,6 +136,7 @@ def typeset_frontmatter(engine, df: DataFrame, col: str) -> DataFrame:
         df = df.withColumn(f"_f_{fmt}", F.when(F.col("_f.kind") == kind, F.col("_f.header")))
         df = typeset_values(Typesetter(replace(engine.config, format=fmt)), df, f"_f_{fmt}")
     df = df.withColumn("_f_body", F.col("_f.body"))
+    df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(reserved.exhausted(F.col("_f_body")), F.lit(reserved.EXHAUSTED))))
     df = Typesetter(replace(engine.config, format="markdown"))._fragment(df, "_f_body", "markdown")
     whole = F.concat("_f.head", F.coalesce("_f_yaml", "_f_toml", F.lit("")), "_f.close", "_f_body")
     return df.withColumn(col, F.when(F.col("_g_error").isNull(), whole)).drop("_f", "_f_yaml", "_f_toml", "_f_body")

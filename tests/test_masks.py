@@ -27,3 +27,16 @@ def test_open_and_nested_elements_stay(spark):
     rules = {"*": False, "number.en_range": True, "space.collapse_spaces": True}
     texts = ["5-6  к " + t for t in tails] + ["<code>5-6<code>1-2</code>3-4</code> 5-6"]
     assert results(spark, texts, rules=rules) == ["5–6 к " + t for t in tails] + ["<code>5-6<code>1-2</code>3-4</code> 5–6"]
+
+
+def test_reserved_characters_stay(spark):
+    texts = ["a\ue100 b\ue101 c!! d??", "<!-- x --> \ue000H0\ue001 \ue000N0\ue001 <code>y</code>", "\ue002 \ue000 \ue003", "".join(chr(c) for c in range(0xE000, 0xF900))]
+    got = results(spark, texts, rules={"*": False, "punctuation.repeat_limit": True})
+    assert got == ["a\ue100 b\ue101 c! d?", *texts[1:3], None]
+
+
+def test_own_groups_keep_what_they_were_given():
+    from glyphmill.operators.reserved import scrubbed
+
+    mark, brk = "\ue000T1\ue001", "\ue100BR\ue101"
+    assert scrubbed(f"a <{mark}>{brk}", f"{brk}<{mark}> b <{mark}>{brk}\ue100c\ue000Z9\ue001") == f"{brk}<{mark}> b <>c"
