@@ -1,8 +1,8 @@
 """Secret scans: base patterns plus two character Markov models compared by log-likelihood ratio.
 
 The base finds assignments, access keys and long hexadecimal runs. Their values, from a bounded sample, are the labelled random strings; words of a bounded
-sample are the labelled ordinary identifiers. Two order-one Markov models over a fixed alphabet are fitted from their bigram counts, and every long mixed token of every whole
-text is scored by its mean log-likelihood ratio per character; tokens above the threshold become spans of kind "random" unless a base span overlaps them.
+sample are the labelled ordinary identifiers. Two order-one Markov models over a fixed alphabet are fitted from their bigram counts, and every token of 8 characters or more
+of every whole text is scored by its log-likelihood ratio; tokens above a threshold that depends on their length become spans of kind "random" unless a base span overlaps them.
 
 Native DataFrame operations only and no shuffle over texts; only bigram counts (at most two alphabets squared) reach the driver.
 
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text, words
+from .shared import whole_text
 
 #: The patterns, in the order in which kinds are listed.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
@@ -28,10 +28,12 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]{4,}$"
-#: Mean log-likelihood ratio per character from which a token is a secret.
+TOKEN = r"[A-Za-z0-9+/_=-]{8,}"
+PLAIN = r"[A-Za-z0-9+/_=-]{2,}"
+#: A token is a secret if its log-likelihood ratio exceeds THRESHOLD for each pair of characters and MARGIN for the whole, so a short one needs a higher mean. Under 8 characters
+#: words and random strings overlap, whatever the threshold: of sf0.01's words the highest have 13, and 5 of 100 random strings of 6 characters are below that.
 THRESHOLD = 0.4
+MARGIN = 14.0
 #: Weight of the single-character model in the identifiers' model.
 BACK_OFF = 8.0
 #: Bound of the labelled sample: so many rows with a base value, and as many rows of words.
@@ -64,7 +66,9 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     d = docs.select(F.col(text_col).alias("text"))
     hit = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{HEX_MIN},}}")
     secrets = with_base(d.where(hit).limit(sample_rows)).select(F.explode("_s_base.v").alias("s"), F.lit(1).alias("label"))
-    plain = d.where("text is not null").limit(sample_rows).select(F.explode(F.array_distinct(words(F.col("text")))).alias("s")).where(F.col("s").rlike(IDENTIFIER))
+    # samples have the shape of the tokens that are judged, so that hyphens, slashes and rules of signs count as ordinary
+    rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{HEX_MIN},}}", " ")
+    plain = d.where("text is not null").limit(sample_rows).select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(PLAIN), F.lit(0)))).alias("s"))
     # long tokens with digits are what is to be judged, so they are no samples of ordinary identifiers
     plain = plain.where(~((F.length("s") >= 16) & F.col("s").rlike("[0-9]"))).withColumn("label", F.lit(0))
     place = lambda at: F.expr(f"instr('{ALPHABET}', substr(s, {at}, 1))")
@@ -87,10 +91,10 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     """docs with base (array of start, kind, end, hit, v) and spans (the same, base and random ones together, in order)."""
     n = len(ALPHABET)
     place = lambda at: f"(instr('{ALPHABET}', substr(x.hit, {at}, 1)) - 1)"
-    score = f"aggregate(sequence(1, length(x.hit) - 1), 0D, (a, i) -> a + element_at(_s_ratios, cast({place('i')} * {n} + {place('i + 1')} + 1 as int))) / (length(x.hit) - 1)"
+    score = f"aggregate(sequence(1, length(x.hit) - 1), 0D, (a, i) -> a + element_at(_s_ratios, cast({place('i')} * {n} + {place('i + 1')} + 1 as int))) - {MARGIN}D"
     d = with_base(docs, text_col).withColumn("_s_ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
     apart = "not exists(_s_base, y -> y.start < x.end and x.start < y.end)"
-    d = d.withColumn("_s_3", F.expr(_spans(TOKEN, 3, f"x.hit rlike '[0-9]' and x.hit rlike '[A-Za-z]' and {apart} and {score} > {threshold}D")))
+    d = d.withColumn("_s_3", F.expr(_spans(TOKEN, 3, f"{apart} and {score} > {threshold}D * (length(x.hit) - 1)")))
     d = d.withColumn("base", F.col("_s_base")).withColumn("spans", F.array_sort(F.concat("_s_base", "_s_3")))
     return d.drop("_s_text", "_s_0", "_s_1", "_s_2", "_s_3", "_s_base", "_s_ratios")
 

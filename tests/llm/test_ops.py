@@ -332,3 +332,12 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert third.columns == columns and {r.doc_id for r in third.collect()} == kept
     out = c.run(spark, folder)
     assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and {r.doc_id for r in out.collect()} <= kept
+
+
+def test_secrets_need_no_digit_and_no_length_of_16(spark, docs):
+    keys = ["ZkqvXQpLWxTJwBnMgrYuC", "kQzXvWpLfGtRyJbN", "Zk3v9QpL1xT7", "xJ4kQ9zW"]
+    plain = ["parser_name", "request-handler", "----------------", "Frequently", "between/several/sentences"]
+    rows = [(k, f"the key {k} and other words") for k in keys] + [(p, f"{p} stands in a sentence") for p in plain]
+    train = docs.select("text").union(spark.createDataFrame([(" ".join(plain),), ("Words such as these stand for ordinary sentences between several parser handlers; request Frequently the other key name",), ('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x',)], "text string"))
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), secret_scan.train(train)).collect()}
+    assert found == {k: [k] for k in keys} | {p: [] for p in plain}
