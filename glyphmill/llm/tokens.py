@@ -1,7 +1,7 @@
 """Token ids of whole texts under a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
 Ordinary text of Latin script is cut into pre-tokens by a compiled pattern of the standard library and each pre-token's ids are kept in a bounded table;
-any other text goes to the tokenizer as a whole. Both ways give the tokenizer's own ids (tests hold them against it).
+any other text, and any that holds the string of an added token such as the end-of-text mark, goes to the tokenizer as a whole. Both ways give the tokenizer's own ids (tests hold them against it).
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ class Encoder:
 
         self.np = np
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # the strings of special tokens are ordinary text here
+        names = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names)) if names else r"(?!)")
         self.known: dict[str, bytes] = {}
         self.single = self._single(path)
 
@@ -49,7 +50,7 @@ class Encoder:
         """The ids of a text, four bytes each."""
         if not text:
             return b""
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.added.search(text):
             return self.whole(text)
         known, parts = self.known, _PIECES.findall(text)
         new = [p for p in set(parts) if p not in known]
