@@ -1,16 +1,18 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a measure and a bound. On a bounded sample the operator estimates what evaluating each rule costs and how much it rejects, and orders the rules
+Each rule has a measure and a bound. On a bounded sample (rows of the first splits, read by an action that stops when it has them) the operator estimates what evaluating each rule costs and how much it rejects, and orders the rules
 by rejection per cost. The verdict is one nested CASE in that order, so a document that an early cheap rule rejects never reaches the dear ones. The order changes cost only, never the verdict.
 
 Native DataFrame operations only and no shuffle: everything about a document is computed in its own row. Repeated five-word windows are found by
 64-bit hashes of word hashes; only documents with a repeated hash sort theirs.
 
-Defined results: a null text has no words and fails the base; an empty table gives an empty table; extra columns are carried along unless they begin with "_q_".
+Defined results: a null text has no words and fails the base; an empty table gives an empty table; extra columns are carried along unless they begin with "_q_"; a column
+named rejected_by is replaced by the result.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from .shared import SPACES, whole_text, words
 WINDOW = 5
 #: Rows of the sample on which cost and selectivity are estimated; the order of rules is all that depends on it.
 SAMPLE_ROWS = 1000
+#: Longer texts don't enter the sample, which passes through the driver.
+SAMPLE_CHARS = 50_000
 
 
 @dataclass(frozen=True)
@@ -39,10 +43,18 @@ RULES = (
     Rule("symbols", "10 * {n_symbols} > {n_words}"),
     Rule("duplicate_lines", "{n_dup_lines} > 2 and 10 * {n_dup_lines} > 3 * {n_lines}"),
     Rule("word_length", "{word_chars} < 2 * {n_words} or {word_chars} > 14 * {n_words}"),
+    Rule("bullet_lines", "{n_lines} > 2 and 10 * {n_bullet_lines} > 9 * {n_lines}"),
+    Rule("ellipsis_lines", "{n_lines} > 2 and 10 * {n_ellipsis_lines} > 3 * {n_lines}"),
+    Rule("letterless_words", "10 * {n_letterless} > 3 * {n_words}"),
 )
 BASE_RULES = ("too_few_words", "repeated_windows")
 
 
+_BULLET, _ELLIPSIS, _LETTER = r"^[ \\t]*[-*•]", r"(?:…|[.][.][.])[ \\t]*$", r"[\\p{L}]"
+#: Measures that the query returns for every row; the others are worked out only where the cascade gets to their rule.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def _lines() -> str:
     return "split(_q_text, '\\n')"
 
@@ -57,6 +69,9 @@ def _measures() -> dict[str, str]:
         "n_lines": f"cast(size({worded}) as bigint)",
         "n_dup_lines": f"cast(size({worded}) - size(array_distinct({worded})) as bigint)",
         "n_repeat_words": _repeated(),
+        "n_bullet_lines": f"cast(size(filter({_lines()}, s -> s rlike '{_BULLET}')) as bigint)",
+        "n_ellipsis_lines": f"cast(size(filter({_lines()}, s -> s rlike '{_ELLIPSIS}')) as bigint)",
+        "n_letterless": f"cast(size(filter(_q_words, w -> not w rlike '{_LETTER}')) as bigint)",
     }
 
 
@@ -86,7 +101,9 @@ def _condition(rule: Rule, names: dict[str, str]) -> str:
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """The rules with cost in seconds and share rejected, as measured on sample_rows rows, in the order in which the cascade applies them."""
-    sample = with_words(docs.select(F.col(text_col).alias("text")).limit(sample_rows)).repartition(8).cache()
+    first = docs.select(F.col(text_col).alias("text")).where(f"length(text) <= {SAMPLE_CHARS}").limit(sample_rows).collect()  # the action reads no more splits than it needs
+    texts = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([r["text"] for r in first])), "array<string>")).alias("text"))
+    sample = with_words(texts).repartition(8).cache()
     n = sample.count()
     found, names = [], _measures()
     for rule in rules:
@@ -112,7 +129,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     # text and words are bound inside the expression: a filter on the verdict is pushed down with it, and names of columns would be replaced by what computes them
     names = {k: v.replace("_q_text", "q.t").replace("_q_words", "q.w") for k, v in _measures().items()}
     bound = F.array(F.struct(whole_text(text_col).alias("t"), words(whole_text(text_col)).alias("w")))
-    docs = docs.withColumn("_q_bound", bound)
+    docs = docs.drop("rejected_by").withColumn("_q_bound", bound)
     return docs.withColumn("rejected_by", F.expr(f"transform(_q_bound, q -> {cascade(order, names)})[0]")).drop("_q_bound")
 
 
@@ -122,8 +139,8 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = [x["rule"] for x in plan_cascade(docs)]
     m = _measures()
-    rows = with_words(docs).select("doc_id", *[F.expr(v).alias(k) for k, v in m.items()])
-    known = {k: k for k in m}
+    rows = with_words(docs).select("doc_id", "_q_text", "_q_words", *[F.expr(m[k]).alias(k) for k in MEASURES])
+    known = m | {k: k for k in MEASURES}
     base = " or ".join(f"({_condition(r, known)})" for r in RULES if r.name in BASE_RULES)
     judged = rows.withColumn("base_failed", F.expr(base)).withColumn("kept", ~F.col("base_failed") & F.expr(cascade(order, known)).isNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -140,11 +157,13 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, sum(least(5, coalesce(lead_i - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead_i FROM rep) y GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
-        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+        len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '(?:…|[.][.][.])[ \t]*$'))) AS n_ellipsis,
+        len(list_filter(ws, lambda x: NOT regexp_matches(x, '\pL'))) AS n_letterless
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
+  NOT ((n_lines > 2 AND (10 * n_bullet > 9 * n_lines OR 10 * n_ellipsis > 3 * n_lines)) OR 10 * n_letterless > 3 * n_words OR n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
        OR word_chars < 2 * n_words OR word_chars > 14 * n_words) AS kept
 FROM m
 """
