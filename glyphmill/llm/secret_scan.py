@@ -1,13 +1,13 @@
 """Secret scans: base patterns plus two character Markov models compared by log-likelihood ratio.
 
 The base finds assignments, access keys and long hexadecimal runs. Their values, from a bounded sample, are the labelled random strings; words of a bounded
-sample are the labelled ordinary identifiers. Two order-one Markov models over a fixed alphabet are fitted from their bigram counts, and every token of 8 characters or more
+sample are the labelled ordinary identifiers. A row is in a sample by the hash of its id and text alone, so neither order nor partitions matter. Two order-one Markov models over a fixed alphabet are fitted from their bigram counts, and every token of 8 characters or more
 of every whole text is scored by its log-likelihood ratio; tokens above a threshold that depends on their length become spans of kind "random" unless a base span overlaps them.
 
 Native DataFrame operations only and no shuffle over texts; only bigram counts (at most two alphabets squared) reach the driver.
 
 Defined results: null counts as empty and has no spans; an empty table gives an empty table and fits nothing; extra columns are carried along unless they
-begin with "_s_". Offsets are code points, ends exclusive.
+begin with "_s_"; columns named base or spans are replaced by the results. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ THRESHOLD = 0.4
 MARGIN = 14.0
 #: Weight of the single-character model in the identifiers' model.
 BACK_OFF = 8.0
-#: Bound of the labelled sample: so many rows with a base value, and as many rows of words.
-SAMPLE_ROWS = 2000
+#: Bounds of the labelled samples, in expectation: words come from so many rows, base values from those of SEARCHED times as many rows that have one.
+SAMPLE_ROWS, SEARCHED = 2000, 64
 
 
 def _spans(pattern: str, kind: int, keep: str) -> str:
@@ -61,14 +61,17 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("_s_base", F.array_sort(F.concat("_s_0", "_s_1", "_s_2")))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[float]:
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> list[float]:
     """Log-likelihood ratios of the two models, one for each pair of alphabet characters, row by row. The prior of random strings is uniform, so they need few samples."""
-    d = docs.select(F.col(text_col).alias("text"))
+    rows = max(1, docs.count())
+    place = F.pmod(F.xxhash64(*([id_col] if id_col in docs.columns else []), text_col), F.lit(1 << 32))
+    d = docs.select(F.col(text_col).alias("text"), place.alias("place"))
+    among = lambda wanted: d.where(F.col("place") < min(1 << 32, -(-(wanted << 32) // rows))).select("text")
     hit = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{HEX_MIN},}}")
-    secrets = with_base(d.where(hit).limit(sample_rows)).select(F.explode("_s_base.v").alias("s"), F.lit(1).alias("label"))
+    secrets = with_base(among(SEARCHED * sample_rows).where(hit)).select(F.explode("_s_base.v").alias("s"), F.lit(1).alias("label"))
     # samples have the shape of the tokens that are judged, so that hyphens, slashes and rules of signs count as ordinary
     rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{HEX_MIN},}}", " ")
-    plain = d.where("text is not null").limit(sample_rows).select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(PLAIN), F.lit(0)))).alias("s"))
+    plain = among(sample_rows).where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(PLAIN), F.lit(0)))).alias("s"))
     # long tokens with digits are what is to be judged, so they are no samples of ordinary identifiers
     plain = plain.where(~((F.length("s") >= 16) & F.col("s").rlike("[0-9]"))).withColumn("label", F.lit(0))
     place = lambda at: F.expr(f"instr('{ALPHABET}', substr(s, {at}, 1))")
@@ -92,7 +95,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     n = len(ALPHABET)
     place = lambda at: f"(instr('{ALPHABET}', substr(x.hit, {at}, 1)) - 1)"
     score = f"aggregate(sequence(1, length(x.hit) - 1), 0D, (a, i) -> a + element_at(_s_ratios, cast({place('i')} * {n} + {place('i + 1')} + 1 as int))) - {MARGIN}D"
-    d = with_base(docs, text_col).withColumn("_s_ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
+    d = with_base(docs.drop(*[c for c in ("base", "spans") if c in docs.columns]), text_col).withColumn("_s_ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
     apart = "not exists(_s_base, y -> y.start < x.end and x.start < y.end)"
     d = d.withColumn("_s_3", F.expr(_spans(TOKEN, 3, f"{apart} and {score} > {threshold}D * (length(x.hit) - 1)")))
     d = d.withColumn("base", F.col("_s_base")).withColumn("spans", F.array_sort(F.concat("_s_base", "_s_3")))
