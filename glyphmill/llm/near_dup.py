@@ -8,12 +8,13 @@ Candidates. Documents with equal shingle sets are one class with its smallest id
 class is tied to it; connected ties are families, and a link can only join classes of one family. Inside a family a shingle that one class alone has can't
 be shared, so a class of which more than 15 of 100 shingles are its own can't be linked at all: this drops, exactly, what shared passages and chance bring together.
 
-Links. The full sets of the classes that remain are dealt into blocks of bounded size by family, and each pair of blocks is one group: shared shingles become the
-columns of a 0/1 matrix whose product gives all intersection sizes, so every pair is confirmed on full sets and no pair leaves the task; what leaves is a spanning forest.
-A family's blocks grow with its size and spread over tasks. Components of the forests give the result.
+Links. The full sets of the classes that remain are dealt by family into blocks that hold a bounded number of sets and of shingles, and each pair of blocks is one group of
+an exchange of its own: shared shingles become the columns of a 0/1 matrix whose product gives all intersection sizes, so every pair is confirmed on full sets and no pair
+leaves the task; what leaves is a spanning forest. A family beyond a few sets is cut into up to SPREAD blocks to use many tasks, and into more only as the bounds demand:
+its sets are copied once for each of its blocks, so the work inside one family of distinct, able sets grows with its square. Components of the forests give the result.
 
-Defined results: null text counts as empty, is linked with nothing and is its own component; fewer than five words are one shingle of the whole sequence; repeated ids share the
-row with the smallest id and set; an empty table gives an empty table; extra columns aren't read.
+Defined results: null text counts as empty, is linked with nothing and is its own component; fewer than five words are one shingle of the whole sequence; rows with the same id are
+one document that has the links of each; an empty table gives an empty table; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .shared import components, discard, written
 WORDS = 5
 TABLES, ROWS = 9, 3
 SEED = 20_240_607
-#: Shingles of all classes in a block, about.
-BLOCK = 1_000_000
+#: Shingles and sets of a block, about; blocks of a family from NEAR * 2 sets on, as far as the bounds don't ask for more.
+BLOCK, SETS, NEAR, SPREAD = 1_000_000, 2_000, 64, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,16 +113,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """docs: (node, family, text). The same with the text's shingle hashes in its place."""
+    """docs: (node, family, text). The same with the text's shingle hashes and the key of that set in its place."""
     import pyarrow as pa
 
     def run(batches):
+        import xxhash
+
         known: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingles(t.as_py(), known).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "family", "set"])
+            sets = [shingles(t.as_py(), known) for t in batch.column(2)]
+            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), keys], ["node", "family", "set", "set_key"])
 
-    return docs.select("node", "family", "text").mapInArrow(run, "node long, family long, set array<long>")
+    return docs.select("node", "family", "text").mapInArrow(run, "node long, family long, set array<long>, set_key binary")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -144,7 +148,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     owner = owner[shared]
     size = n[alive].astype(np.float64)
     inter = np.zeros((len(alive), len(alive)), dtype=np.float32)
-    wide = max(1, 32_000_000 // len(alive))
+    wide = max(1, 16_000_000 // len(alive))
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
     for at in range(0, len(names), wide):
@@ -175,10 +179,10 @@ def _block_links(percent: int):
     def run(pdf):
         import pandas as pd
 
-        rows = pdf.drop_duplicates("node").sort_values("node")
+        rows = pdf.drop_duplicates(["node", "set_key"]).sort_values(["node", "set_key"])
         nodes = rows["node"].to_numpy()
         pairs = linked([np.asarray(s, dtype=np.int64) for s in rows["set"]], percent)
-        return pd.DataFrame({"a": [nodes[x] for x, _ in pairs], "b": [nodes[y] for _, y in pairs]}, dtype="int64")
+        return pd.DataFrame({"a": [nodes[x] for x, _ in pairs], "b": [nodes[y] for _, y in pairs]}, dtype="int64").query("a != b")
 
     return run
 
@@ -194,17 +198,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     low = tables.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ties = tables.join(low.select(F.greatest("key", F.lit(-(1 << 63))).alias("key"), "low"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     families = written(components(ties).select("node", F.col("root").alias("family")))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(families, "node").dropDuplicates(["node"])
-    sets = written(shingle_sets(texts))
-    own = sets.select("node", "family", F.explode("set").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    able = sets.join(own, "node", "left").where(100 * (F.size("set") - F.coalesce("own", F.lit(0))) >= percent * F.size("set")).select("node", "family", "set")
-    blocks = able.groupBy("family").agg(F.ceil(F.sum(F.size("set")) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = blocks.select(F.greatest("family", F.lit(-(1 << 63))).alias("family"), "blocks")
-    dealt = able.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(families, "node")
+    # an id can have several texts, and some of them may belong to a class of another id
+    named = classes.select(F.greatest("node", F.lit(-(1 << 63))).alias("node"), "set_key")
+    sets = written(shingle_sets(texts).dropDuplicates(["node", "set_key"]).join(named, ["node", "set_key"], "left_semi"))
+    one = F.struct("node", "set_key").alias("one")
+    own = sets.select(one, "family", F.explode("set").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("n"), F.min("one").alias("one")).where("n = 1")
+    own = own.groupBy("one").agg(F.count(F.lit(1)).alias("own")).select("one.node", "one.set_key", "own")
+    able = sets.join(own, ["node", "set_key"], "left").where(100 * (F.size("set") - F.coalesce("own", F.lit(0))) >= percent * F.size("set")).select("node", "set_key", "family", "set")
+    needed = lambda x, bound: F.ceil(x / bound)
+    blocks = able.groupBy("family").agg(F.sum(F.size("set")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = blocks.select(F.greatest("family", F.lit(-(1 << 63))).alias("family"), F.greatest(needed(F.col("s"), BLOCK), needed(F.col("n"), SETS), F.least(F.lit(SPREAD), needed(F.col("n"), NEAR))).cast("int").alias("blocks"))
+    dealt = able.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("node", "set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "set")
-    links = written(dealt.groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long"))
+    dealt = dealt.select("family", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "set_key", "set")
+    # the join has dealt rows by family, which would do for the grouping as well and leave all pairs of a family to one task
+    links = written(dealt.repartition("family", "p", "q").groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long"))
     roots = components(links)
     members = signed.join(classes.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("node", "doc_id").alias("node"))
     out = members.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
