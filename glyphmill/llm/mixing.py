@@ -5,22 +5,25 @@ their weights; only what a whole sibling group can't hold goes to the parent's s
 group is filled. This is water-filling, level by level from the root. Each leaf then reads its rows in a seeded order, epoch after epoch, and keeps the prefix that
 begins before its budget is used up; the last row may go over it.
 
-Native DataFrame operations only. Budgets are computed on one row per node. A leaf's running sum is taken in two steps, over the order's leading hexadecimal digits
-first and inside each such bucket after, so no window holds a whole leaf, even if one source has a third of all rows.
+Native DataFrame operations only. Budgets are computed on one row per node. A leaf's running sum is taken in two steps, over buckets of the seeded order
+first and inside each bucket after. There are as many buckets as the root of the number of rows, so no window holds a whole leaf, even if one source has a third of all rows,
+and neither step grows faster than that root.
 
 Defined results: null text has no tokens and null domain, language or source is a node of its own named ""; rows without tokens stay with a leaf that has a budget above zero;
-repeated ids are ordered by the digest of their text; an empty table gives an empty table; extra columns are carried along unless they begin with "_m_".
+repeated ids are ordered by the digest of their text; an empty table gives an empty table; extra columns are carried along unless they begin with "_m_";
+columns with the name of a result (epoch, tokens, tokens_before, leaf_budget) are replaced by it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import whole_text, words
 
-#: Digits of the order by which a leaf's rows are bucketed: 16 ** 3 buckets a leaf.
-BUCKET_DIGITS = 3
+RESULTS = ("epoch", "tokens", "tokens_before", "leaf_budget")
 #: Domains of the op5 query by the last digit of a source, and the weights of domains and languages; anything else weighs 1.
 DOMAIN_OF_DIGIT = {"web": "0123456", "books": "78", "code": "9"}
 DOMAIN_WEIGHTS = {"web": 5.0, "books": 3.0, "code": 2.0}
@@ -81,6 +84,8 @@ def mix(
     """docs that the mixture takes, one row per epoch, with epoch, tokens, tokens_before and leaf_budget. fraction: tokens to take over tokens there are."""
     weights = weights or [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}]
     none = F.lit("")
+    buckets = math.isqrt(docs.count()) + 1
+    docs = docs.drop(*[c for c in RESULTS if c in docs.columns])
     rows = docs.withColumns({
         "_m_domain": F.coalesce(domain, none), "_m_lang": F.coalesce(F.col("lang"), none), "_m_source": F.coalesce(F.col("source"), none),
         "_m_tokens": F.size(words(whole_text(text_col))).cast("long"), "_m_tie": F.md5(whole_text(text_col)),
@@ -89,13 +94,13 @@ def mix(
     leaves = slim.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, F.col("_m_b") * F.lit(float(fraction)), weights, epochs).select("domain", "lang", "source", "budget")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", F.coalesce(F.col("_m_id").cast("string"), none)))
-    turns = slim.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_m_order", order).withColumn("_m_bucket", F.substring("_m_order", 1, BUCKET_DIGITS))
+    turns = slim.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_m_order", order).withColumn("_m_bucket", F.shiftright(F.conv(F.substring("_m_order", 1, 8), 16, 10).cast("long") * buckets, 32))
     leaf = ["domain", "lang", "source"]
     sums = turns.groupBy(*leaf, "epoch", "_m_bucket").agg(F.sum("tokens").alias("_m_sum"))
     running = Window.partitionBy(*leaf).orderBy("epoch", "_m_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_m_start", F.coalesce(F.sum("_m_sum").over(running), F.lit(0))).join(plan, leaf).where("_m_start < budget")
     # an own exchange for this side lets adaptive execution split hot buckets
-    starts = starts.select(*leaf, "epoch", F.concat("_m_bucket", F.lit("")).alias("_m_bucket"), "_m_start", "budget")
+    starts = starts.select(*leaf, "epoch", F.greatest("_m_bucket", F.lit(-1)).alias("_m_bucket"), "_m_start", "budget")
     inside = Window.partitionBy(*leaf, "epoch", "_m_bucket").orderBy("_m_order", "_m_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("_m_inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, [*leaf, "epoch", "_m_bucket"])
     taken = placed.withColumn("tokens_before", F.col("_m_start") + F.col("_m_inside")).where("tokens_before < budget")
