@@ -6,8 +6,8 @@ decodes one frame at a time from a stream, and checks version, header lines, con
 Archives are written by tasks straight into the shared folder, under names that no other attempt uses, and the committed manifest says which count: a lost
 executor or a second attempt leaves files that nothing reads. Identical payloads are found on digests alone; pages move only if the list of revisits is too large to broadcast.
 
-Defined results: null html is an empty payload, a null url is written as "urn:none"; control characters in urls are escaped; repeated page ids give
-repeated records; an empty table gives no archive and no rows; extra columns aren't read. A broken archive raises ValueError with its place.
+Defined results: null html is an empty payload, a null url is written as "urn:none"; control characters in urls are escaped; a page id with
+several payloads gives a record for each, and repeated rows give repeated records; an empty table gives no archive and no rows; extra columns aren't read. A broken archive raises ValueError with its place.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT = 1000
 #: An archive is closed beyond so many compressed bytes; a dictionary has so many bytes and is trained on so many of payload at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAIN_BYTES = 64 << 20, 32 << 10, 2 << 20
-_RECORD_ID = "<urn:page:{}>"
+#: A record is known by its page and payload, so that a page id with several payloads has several records.
+_RECORD_ID = "<urn:page:{}:{}>"
 
 
 def file_system(uri: str):
@@ -47,13 +48,14 @@ def file_system(uri: str):
 
 
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    sha1 = hashlib.sha1(payload)
+    digest = "sha1:" + base64.b32encode(sha1.digest()).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (b"" if refers_to is not None else payload)
     uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "urn:none")
-    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_RECORD_ID.format(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: {digest}"]
+    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_RECORD_ID.format(page_id, sha1.hexdigest())}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: {digest}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_RECORD_ID.format(refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_RECORD_ID.format(refers_to, sha1.hexdigest())}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -166,7 +168,7 @@ def payload_of(headers: dict[str, str], block: bytes, where: str = "") -> tuple[
 
 
 def _page_of(record_id: str) -> int:
-    return int(record_id.removeprefix("<urn:page:").removesuffix(">"))
+    return int(record_id.removeprefix("<urn:page:").partition(":")[0])
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -262,12 +264,12 @@ def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False)
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a page with a larger id has as well."""
+    """(page_id, mark, refers_to) of pages whose payload, known by its mark, a page with a larger id has as well."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(body, 256).alias("mark"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST_REVISIT)
     shared = marks.groupBy("mark").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = shared.select(F.concat("mark", F.lit("")).alias("mark"), "refers_to")
-    return marks.join(shared, "mark").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return marks.join(shared, "mark").where("page_id <> refers_to").select("page_id", "mark", "refers_to").distinct()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -275,13 +277,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = work_dir(spark)
     later = written(revisits(pages))
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    manifest = write_archives(plain.join(later, "page_id", "left"), folder)
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("mark"))
+    manifest = write_archives(plain.join(later, ["page_id", "mark"], "left"), folder)
     found = written(read_archives(manifest, folder))
     targets = found.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_digest").alias("to_digest")).distinct()
-    revisit = found.where("record_type = 'revisit'").join(targets, F.col("refers_to") == F.col("to"))
+    revisit = found.where("record_type = 'revisit'").join(targets, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("to_digest")), "left")
     checked = revisit.select(
-        "page_id", F.when((F.col("payload_digest") == F.col("to_digest")) & (F.col("payload_bytes") == F.col("to_bytes")), F.col("to_bytes")).otherwise(F.raise_error(F.lit("a revisit differs from its target")).cast("long")).alias("payload_bytes"),
+        "page_id", F.when(F.col("payload_bytes") == F.col("to_bytes"), F.col("to_bytes")).otherwise(F.raise_error(F.lit("a revisit has no target with its payload")).cast("long")).alias("payload_bytes"),
         F.col("to_digest").alias("payload_digest"), "record_type", "refers_to",
     )
     discard(later)
