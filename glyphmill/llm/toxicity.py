@@ -5,8 +5,8 @@ word beginnings is learned from labelled rows by log-likelihood ratio, and so ar
 automaton finds all entries and exceptions in one pass over a whole text; hits inside an exception don't count. A text's sum of weights, normalised by its length, goes
 through a logistic curve fitted on the same rows.
 
-Learning reads at most TRAIN_ROWS labelled rows of each label (those with the smallest digests of their ids); lexicon and exceptions have bounded sizes, and only they and one row per training document
-reach the driver. Scoring is one narrow pass.
+Learning reads at most TRAIN_ROWS labelled rows of each label (those with the smallest digests of their ids); lexicon and exceptions are what passes a test of
+significance on those rows, so their sizes are bounded by the sample, and only they and one number per training document reach the driver. Scoring is one narrow pass.
 
 Defined results: null and empty texts score the curve at zero; without labels of both kinds every score is 0.0; several labels of an id count as their largest; an empty table
 gives an empty table; extra columns aren't read. Labels, language, source and id are no inputs of a score.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .shared import whole_text, written
 
-#: Bounds: labelled rows of each label to learn from, lexicon entries, exceptions.
-TRAIN_ROWS, LEXICON, EXCEPTIONS = 20_000, 2_000, 500
+#: Bound: labelled rows of each label to learn from.
+TRAIN_ROWS = 20_000
 #: Lengths of word beginnings that may be entries, least toxic rows of an entry and least G-squared.
 PREFIXES, LEAST_ROWS, LEAST_G = (4, 5, 6), 3, 20.0
 CUT = 0.3
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     least = F.least(F.lit(LEAST_G), F.lit(4.0 * math.log((p + n) / p)))
     first = _counts(rows, lambda t: {x for w in set(t.split()) if len(w) > 2 for x in terms(w)})
     best = first.where(F.col("pos") >= min(LEAST_ROWS, p)).withColumn("g", _g("pos", "neg", p, n)).where(F.col("g") >= least)
-    best = best.orderBy(F.desc("g"), "term").limit(LEXICON).collect()
+    best = best.orderBy(F.desc("g"), "term").collect()
     weights = {}
     for r in best:
         w = math.log((r["pos"] + 0.5) / (p + 1)) - math.log((r["neg"] + 0.5) / (n + 1))
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return out
 
     clean = _counts(rows, phrases).where(F.col("neg") >= LEAST_ROWS).withColumn("g", _g("pos", "neg", p, n)).where((F.col("neg") * p > F.col("pos") * n) & (F.col("neg") > 4 * F.col("pos")))
-    exceptions = [r["term"] for r in clean.orderBy(F.desc("neg"), "term").limit(EXCEPTIONS).collect()]
+    exceptions = [r["term"] for r in clean.orderBy(F.desc("neg"), "term").collect()]
     model = Model(weights, exceptions, None)
 
     def run(batches):
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     import pyarrow as pa
 
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and EXCEPTIONS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
 
     def run(batches):
         m = shared.value
