@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir, which every executor sees; where that is unset, below the context's checkpoint folder or else the warehouse, which are shared as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -58,7 +54,7 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES_RE))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: (a, b) long columns in any direction. Returns (node, root), root the smallest node reachable; nodes without an edge do not appear.
@@ -68,7 +64,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     small = F.least("a", "b").alias("v")
     cur = written(edges.where("a <> b").select(big, small).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # An expression over the key gives this side an exchange of its own, so that adaptive execution can split a hot star.
@@ -87,6 +83,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
