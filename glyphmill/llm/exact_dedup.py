@@ -6,8 +6,8 @@ watermark and is kept for as long as the checkpoint folder is, so a later run ov
 the full bytes of the row that stays; rows that only share the digest are regrouped by their whole text.
 
 Native DataFrame and Structured Streaming operations only. The aggregate has a partial step, so a text that a third of all rows hold sends one row per
-task to its key. On the way back from state to rows the digests with more than HOT rows, or rows / HOT_KEYS if that is more, are salted by row: there are at most HOT_KEYS of
-them, which bounds the list that is broadcast, and no task meets more than that many rows of one.
+task to its key. On the way back from state to rows the digests with more than HOT rows, or rows / HOT_KEYS if that is more, are salted by row and their texts checked apart: there are at most
+HOT_KEYS of them, which bounds the list that is broadcast, and no task meets more than that many rows of one.
 
 Defined results: null counts as an empty text, and empty texts are copies of each other; lower-casing touches A-Z only; an empty table gives an empty result;
 extra columns are not read; repeated rows count as rows.
@@ -94,15 +94,16 @@ def dedup_exact(spark: SparkSession, path: str, checkpoint: str | None = None, f
     hot = F.broadcast(state.where(F.col("group_size") > least).select("digest", "n_bytes", salts.alias("salts")))  # HOT_KEYS rows at most
     salted = lambda df: df.join(hot, ["digest", "n_bytes"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts", "at")
     at = F.monotonically_increasing_id().alias("at")  # copies of one row part as well
-    state = state.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    found = salted(_keyed(docs, at)).join(state, ["digest", "n_bytes", "salt"])
+    found = salted(_keyed(docs, at)).join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["digest", "n_bytes", "salt"])
     hits = state.where("group_size > 1")
     # full bytes: whole texts of hits are grouped by equality, once a task before they are shuffled; a digest with two texts is a false hit
     with_text = _keyed(docs, normalised().alias("norm"))
-    dealt = salted(_keyed(docs, normalised().alias("norm"), at))
+    key = ["digest", "n_bytes"]
     before = _set(spark, _BLOOM)
     try:
-        whole = dealt.join(hits.select("digest", "n_bytes", "salt"), ["digest", "n_bytes", "salt"], "left_semi").groupBy("digest", "n_bytes", "salt", "norm").agg(F.lit(1)).select("digest", "n_bytes", "norm").distinct()
+        whole = with_text.join(hits.where(F.col("group_size") <= least).select(*key), key, "left_semi").select(*key, "norm").distinct()
+        if hot.head(1):  # these never shuffle before each task has brought its rows of one text down to one
+            whole = whole.unionByName(with_text.join(hot.select(*key), key, "left_semi").select(*key, "norm").distinct())
         odd = written(whole.groupBy("digest", "n_bytes").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest", "n_bytes"))
     finally:
         _set(spark, before)
