@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, whole_text
+from .shared import SPACES, whole_text, written
 
 
 RESULTS = ("kept_text", "n_lines", "n_dropped")
@@ -32,7 +32,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     digest = lambda k: F.when(F.length(k) >= min_chars, F.unhex(F.md5(k)))
     keys = F.transform(lines, lambda s, i: F.when(F.length(s) >= min_chars, F.struct(i.alias("pos"), digest(line_key(s)).alias("key"))))
     held = docs.select(F.col(id_col).alias("_ld_id"), "_ld_row", F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("_ld_k"))
-    held = held.select("_ld_id", "_ld_row", F.col("_ld_k.pos").alias("_ld_pos"), F.col("_ld_k.key").alias("_ld_key"))
+    # read three times below, and dearer to work out than to read
+    held = written(held.select("_ld_id", "_ld_row", F.col("_ld_k.pos").alias("_ld_pos"), F.col("_ld_k.key").alias("_ld_key")))
     # the count of lines has a partial step and bounds that of documents; documents themselves are counted only for the few keys that pass it
     often = held.groupBy("_ld_key").agg(F.count(F.lit(1)).alias("_ld_n")).where(F.col("_ld_n") >= min_docs)
     # an expression over the key gives each side an exchange of its own: adaptive execution can split the hot keys of a join, and documents of one key are counted by all tasks
