@@ -1,186 +1,491 @@
-"""Suffix sorting by induction over bucket queues that spill to disk.
+"""External suffix sorting by recursive induction, with common prefixes carried along.
 
-The order of the suffixes that begin a run of rising characters (S*) induces the order of all others in two passes over the alphabet: ascending for falling suffixes, descending
-for rising ones. What a pass produces for a later character goes into that character's queue; the queues together are a priority queue with the character as its key and
-arrival as its tie-break, and hold their tuples in memory up to a bound and in a file beyond it. Within a bucket the pass goes in waves, one for each repetition of the character.
+The beginnings of rising runs (S*) in order induce the order of all suffixes in two passes: ascending for falling suffixes, descending for rising ones. What a pass produces for a character waits in a
+priority queue with the character as key and arrival as tie-break, as tuples of position and common prefix with the tuple queued before it: one more than the least common prefix among
+the suffixes scanned between the two that produced them. The order of the S* themselves comes from a first induction that sorts the pieces between them, gives equal pieces
+one name, and sorts the string of names by the same procedure, each name written as one or two digits so that every level has a small alphabet. Common prefixes of
+names become a first bound for those of the S*, which reading on in the text completes.
+
+Text, types, seeds and queues are arrays of a Scratch: in memory up to its limit and in files beyond it, which are read and written by blocks. Memory is a few blocks, the queues' limit
+and one bucket group; strings of at most SMALL names are sorted by doubling in memory.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
+BLOCK = 1 << 16
+#: Names that one digit holds; names of a string that is sorted in memory.
+DIGIT, SMALL = 1500, 300_000
 
-class BucketQueues:
-    """A queue of positions for each character, first in, first out. Beyond `limit` positions held in memory the largest queue is moved to a file."""
 
-    def __init__(self, size: int, limit: int = 1 << 24):
-        self.held: list[list[np.ndarray]] = [[] for _ in range(size)]
-        self.count = np.zeros(size, dtype=np.int64)
-        self.limit, self.total = limit, 0
-        self.files: dict[int, object] = {}
-        self.spilled = 0
+class Scratch:
+    """Arrays in memory up to `limit` bytes each, in files beyond that; the files lie in the folder that Spark gives its workers for spilling and go with the object."""
 
-    def put(self, chars: np.ndarray, positions: np.ndarray) -> None:
-        """Appends each position to its character's queue, in the order given."""
-        if not len(positions):
-            return
-        order = np.argsort(chars, kind="stable")
-        chars, positions = chars[order], positions[order]
-        cuts = np.flatnonzero(np.diff(chars)) + 1
-        for part in np.split(np.arange(len(chars)), cuts) if len(cuts) > 64 else [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(chars)])]:
-            c = int(chars[part][0])
-            self.held[c].append(positions[part])
-            self.count[c] += len(self.held[c][-1])
-        self.total += len(positions)
-        while self.total > self.limit:
-            self._spill(int(self.count.argmax()))
-
-    def _spill(self, c: int) -> None:
-        block = np.concatenate(self.held[c])
-        f = self.files.setdefault(c, tempfile.TemporaryFile())
-        f.write(block.astype("<i8").tobytes())
-        self.held[c], self.count[c] = [], 0
-        self.total -= len(block)
-        self.spilled += len(block)
-
-    def take(self, c: int) -> np.ndarray:
-        """Empties a character's queue."""
-        parts = []
-        f = self.files.pop(c, None)
-        if f is not None:
-            f.seek(0)
-            parts.append(np.frombuffer(f.read(), "<i8"))
-            f.close()
-        parts += self.held[c]
-        self.total -= int(self.count[c])
-        self.held[c], self.count[c] = [], 0
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-
-
-def rising(t: np.ndarray) -> np.ndarray:
+    def __init__(self, limit: int = 64 << 20, queued: int = 1 << 22):
+        self.limit, self.queued = limit, queued
+        self.folder: str | None = None
+        self.files = 0
+        self.on_disk = 0
+
+    def _path(self) -> str:
+        if self.folder is None:
+            base = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+            self.folder = tempfile.mkdtemp(prefix="induced-", dir=base if base and os.path.isdir(base) else None)
+        self.files += 1
+        return os.path.join(self.folder, str(self.files))
+
+    def empty(self, n: int, dtype) -> np.ndarray:
+        size = n * np.dtype(dtype).itemsize
+        if size <= self.limit or not n:
+            return np.zeros(n, dtype)
+        self.on_disk += size
+        return np.memmap(self._path(), dtype=dtype, mode="w+", shape=(n,))
+
+    def file(self):
+        return open(self._path(), "w+b", buffering=0)  # noqa: SIM115
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+class Queues:
+    """Tuples by character, first in, first out. Characters share groups of 2 ** shift; a group is parted by character when it is opened."""
+
+    def __init__(self, size: int, scratch: Scratch, place, carries: bool):
+        self.shift = max(0, int(size - 1).bit_length() - 8) if size > 512 else 0
+        self.held: list[list] = [[] for _ in range((size >> self.shift) + 1)]
+        self.fine: dict[int, list] = {}
+        self.group = -1
+        self.scratch, self.count, self.out = scratch, 0, None
+        self.shape = np.dtype([("c", "<u2"), ("p", place), ("l", "<i2")])
+        self.carries = carries
+
+    def put(self, c: np.ndarray, p: np.ndarray, common: np.ndarray | None) -> None:
+        """Tuples sorted by character, in order of arrival within one."""
+        n = len(c)
+        key = c >> self.shift
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        ends = [*cuts.tolist(), n]
+        a = 0
+        for b in ends:
+            g = int(key[a])
+            part = (c[a:b], p[a:b], None if common is None else common[a:b])
+            if self.shift and g == self.group:
+                self._part(part)
+            else:
+                self.held[g].append(part)
+            a = b
+        self.count += n
+        if self.count > self.scratch.queued:
+            self._spill()
+
+    def _part(self, part) -> None:
+        c, p, common = part
+        cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
+        a = 0
+        for b in [*cuts.tolist(), len(c)]:
+            self.fine.setdefault(int(c[a]), []).append((c[a:b], p[a:b], None if common is None else common[a:b]))
+            a = b
+
+    def _spill(self) -> None:
+        """Everything but the open group goes to the file; a reference takes its place."""
+        if self.out is None:
+            self.out = self.scratch.file()
+        for g, parts in enumerate(self.held):
+            mine = [x for x in parts if not isinstance(x, int)]
+            if not mine:
+                continue
+            kept: list = []
+            for x in parts:
+                if isinstance(x, int):
+                    kept.append(x)
+            rows = np.empty(sum(len(x[0]) for x in mine), self.shape)
+            rows["c"] = np.concatenate([x[0] for x in mine])
+            rows["p"] = np.concatenate([x[1] for x in mine])
+            rows["l"] = np.concatenate([x[2] for x in mine]) if self.carries else 0
+            for a in range(0, len(rows), BLOCK):
+                data = rows[a : a + BLOCK].tobytes()
+                at = self.out.seek(0, 2)
+                self.out.write(data)
+                self.scratch.on_disk += len(data)
+                kept.append(at * (BLOCK + 1) + len(data) // self.shape.itemsize)
+            self.held[g] = kept
+        self.count = 0
+
+    def _load(self, x):
+        if not isinstance(x, int):
+            return x
+        self.out.seek(x // (BLOCK + 1))
+        rows = np.frombuffer(self.out.read(x % (BLOCK + 1) * self.shape.itemsize), self.shape)
+        return rows["c"], rows["p"].copy(), rows["l"].copy() if self.carries else None
+
+    def _joined(self, parts: list):
+        if len(parts) == 1:
+            return self._load(parts[0])
+        loaded = [self._load(x) for x in parts]
+        return np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded]), np.concatenate([x[2] for x in loaded]) if self.carries else None
+
+    def take(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Empties a character's queue by blocks, also of what is put there meanwhile."""
+        if self.shift and c >> self.shift != self.group:
+            self.group, self.fine = c >> self.shift, {}
+            parts, self.held[self.group] = self.held[self.group], []
+            if parts:
+                cs, p, common = self._joined(parts)
+                order = np.argsort(cs, kind="stable")
+                self._part((cs[order], p[order], None if common is None else common[order]))
+        while True:
+            parts = self.fine.get(c) if self.shift else self.held[c]
+            if not parts:
+                return
+            n = k = 0
+            while k < len(parts) and n < BLOCK:
+                n += parts[k] % (BLOCK + 1) if isinstance(parts[k], int) else len(parts[k][0])
+                k += 1
+            now, parts[:k] = parts[:k], []
+            _, p, common = self._joined(now)
+            yield p, common
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def rising(t: np.ndarray, scratch: Scratch) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last, a unique smallest character, counts as rising."""
     n = len(t)
-    up = np.zeros(n, dtype=bool)
-    up[:-1] = t[:-1] < t[1:]
-    up[-1] = True
-    same = np.zeros(n, dtype=bool)
-    same[:-1] = t[:-1] == t[1:]
-    # an equal neighbour hands down its own kind: look up the next position that isn't equal to its follower
-    last = np.where(same, n, np.arange(n))
-    last = np.minimum.accumulate(last[::-1])[::-1]
-    return up[last]
-
-
-def _induce(t: np.ndarray, up: np.ndarray, seeds: np.ndarray, size: int, limit: int) -> np.ndarray:
-    """All suffixes in order, from the rising-run beginnings in order."""
-    by = t[seeds]
-    starts = np.searchsorted(by, np.arange(size + 1))
-    falling: list[np.ndarray] = []
-    queues = BucketQueues(size, limit)
+    up = scratch.empty(n, bool)
+    up[n - 1] = nxt = True
+    for b in range(n - 1, 0, -(1 << 20)):
+        a = max(0, b - (1 << 20))
+        here, then = np.asarray(t[a:b]), np.asarray(t[a + 1 : b + 1])
+        kind = here < then
+        last = np.where(here == then, b - a, np.arange(b - a))  # an equal neighbour hands down its own kind
+        last = np.minimum.accumulate(last[::-1])[::-1]
+        out = np.append(kind, nxt)[last]
+        up[a:b] = out
+        nxt = bool(out[0])
+    return up
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of values[lo : hi + 1] for each pair, by a table of the leasts over powers of two."""
+    length = hi - lo + 1
+    power = np.frexp(length.astype(np.float64))[1] - 1
+    out = np.empty(len(lo), values.dtype)
+    level, table = 0, values
+    most = int(power.max()) if len(power) else 0
+    for level in range(most + 1):
+        at = np.flatnonzero(power == level)
+        if len(at):
+            out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << level) + 1])
+        if level < most:
+            half = 1 << level
+            table = np.minimum(table[:-half], table[half:]) if len(table) > half else table
+    return out
+
+
+class _Scan:
+    """What scanned suffixes put into the queues: their predecessors of one kind."""
+
+    def __init__(self, t, up, want: bool, size: int, cap: int, queues: Queues, carries: bool):
+        self.t, self.up, self.want, self.cap, self.queues, self.carries = t, up, want, cap, queues, carries
+        self.carry = np.full(size, cap, np.int16)  # least common prefix scanned since a character's last tuple
+        self.seen = np.zeros(size, bool)
+
+    def feed(self, p: np.ndarray, common: np.ndarray | None) -> None:
+        before = p - 1
+        if not len(p):
+            return
+        ok = self.up[before] == self.want  # place -1 is the last one, whose kind is rising; it is left out below
+        ok &= p > 0
+        sel = np.flatnonzero(ok)
+        if self.carries:
+            low = int(common.min())
+        if not len(sel):
+            if self.carries:
+                np.minimum(self.carry, low, out=self.carry)
+            return
+        ch = self.t[before[sel]]
+        order = np.argsort(ch, kind="stable")
+        sel, ch = sel[order], ch[order]
+        if not self.carries:
+            self.queues.put(ch, before[sel], None)
+            return
+        first = np.empty(len(ch), bool)
+        first[0] = True
+        np.not_equal(ch[1:], ch[:-1], out=first[1:])
+        lo = np.empty(len(sel), np.int64)
+        lo[0] = 0
+        lo[1:] = sel[:-1] + 1
+        lo[first] = 0
+        least = _least(common, lo, sel)
+        heads = ch[first]
+        least[first] = np.minimum(least[first], self.carry[heads])
+        new = np.minimum(least + 1, self.cap).astype(np.int16)
+        fresh = ~self.seen[heads]
+        if fresh.any():
+            new[np.flatnonzero(first)[fresh]] = 0
+            self.seen[heads] = True
+        np.minimum(self.carry, low, out=self.carry)
+        ends = np.flatnonzero(np.append(first[1:], True))
+        tail = np.append(np.minimum.accumulate(common[::-1])[::-1], self.cap)
+        self.carry[ch[ends]] = tail[sel[ends] + 1]
+        self.queues.put(ch, before[sel], new)
+
+
+def _shared(t: np.ndarray, a: int, b: int, cap: int) -> int:
+    """Common prefix of two suffixes, read off the text."""
+    n = min(cap, len(t) - max(a, b))
+    bad = np.flatnonzero(np.asarray(t[a : a + n]) != np.asarray(t[b : b + n]))
+    return int(bad[0]) if len(bad) else n
+
+
+def induced(t, up, seeds, seed_common, size: int, cap: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """All suffixes in descending order by blocks, each with its common prefix with the one before it in that order (capped), from the S* in ascending order with theirs; without those
+    (the S* known by their first character only) no common prefixes are carried."""
+    carries = seed_common is not None
+    n = len(t)
+    place = seeds.dtype
+    first = np.asarray([np.searchsorted(t[seeds], c) for c in range(size + 1)]) if len(seeds) <= BLOCK else _starts(t, seeds, size)
+    falling_p, falling_l = scratch.empty(n, place), scratch.empty(n if carries else 0, np.int16)
+    bounds = np.zeros(size + 1, np.int64)
+    queues = Queues(size, scratch, place, carries)
+    scan = _Scan(t, up, False, size, cap, queues, carries)
+    at = 0
     for c in range(size):
-        mine = []
-        wave = queues.take(c)
-        while len(wave):
-            mine.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[~up[before]]
-            same = t[before] == c
-            queues.put(t[before[~same]], before[~same])
-            wave = before[same]
-        falling.append(np.concatenate(mine) if mine else np.zeros(0, dtype=np.int64))
-        own = seeds[starts[c] : starts[c + 1]]
-        before = own[own > 0] - 1
-        before = before[~up[before]]
-        queues.put(t[before], before)
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * size
-    queues = BucketQueues(size, limit)
+        bounds[c] = at
+        for p, common in queues.take(c):
+            falling_p[at : at + len(p)] = p
+            if carries:
+                falling_l[at : at + len(p)] = common
+            at += len(p)
+            scan.feed(p, common)
+        for a in range(first[c], first[c + 1], BLOCK):
+            b = min(first[c + 1], a + BLOCK)
+            p, common = np.asarray(seeds[a:b]), None
+            if carries:
+                common = np.array(seed_common[a:b])
+                if a == first[c]:
+                    common[0] = _shared(t, int(falling_p[at - 1]), int(p[0]), cap) if at > bounds[c] else 0
+            scan.feed(p, common)
+    bounds[size] = at
+    queues.close()
+    queues = Queues(size, scratch, place, carries)
+    scan = _Scan(t, up, True, size, cap, queues, carries)
     for c in range(size - 1, -1, -1):
-        mine = []
-        wave = queues.take(c)
-        if c == t[-1]:
-            wave = np.concatenate([wave, [len(t) - 1]])
-        while len(wave):
-            mine.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[up[before]]
-            same = t[before] == c
-            queues.put(t[before[~same]], before[~same])
-            wave = before[same]
-        back = falling[c][::-1]
-        before = back[back > 0] - 1
-        before = before[up[before]]
-        queues.put(t[before], before)
-        rise = np.concatenate(mine)[::-1] if mine else np.zeros(0, dtype=np.int64)
-        out[c] = np.concatenate([falling[c], rise])
-    return np.concatenate(out)
-
-
-def _seed_order(t: np.ndarray, up: np.ndarray, seeds: np.ndarray, size: int, limit: int, depth: int) -> np.ndarray:
-    """The rising-run beginnings in order of their suffixes, as far as `depth` characters tell them apart.
-
-    One induction over unsorted beginnings sorts what lies between two of them; equal pieces get one name, and names are sorted by doubling until all differ
-    or a name covers `depth` characters (a piece has two at least).
-    """
-    first = seeds[np.argsort(t[seeds], kind="stable")]
-    order = _induce(t, up, first, size, limit)
-    is_seed = np.zeros(len(t), dtype=bool)
-    is_seed[seeds] = True
-    order = order[is_seed[order]]
-    index = np.full(len(t), -1, dtype=np.int64)
-    index[seeds] = np.arange(len(seeds))
-    ends = np.append(seeds[1:], len(t) - 1)
-    length = ends - seeds + 1
-    # equality of neighbouring pieces, character by character over those still equal
-    k = index[order]
-    a, b = order[:-1], order[1:]
-    la, lb = length[k[:-1]], length[k[1:]]
-    equal = la == lb
-    at = np.flatnonzero(equal)
-    step = 0
+        last = -1
+        if c == t[n - 1]:
+            p, common = np.array([n - 1], place), np.zeros(1, np.int16) if carries else None
+            yield p, common
+            last = n - 1
+            scan.feed(p, common)
+        for p, common in queues.take(c):
+            yield p, common
+            last = int(p[-1])
+            scan.feed(p, common)
+        nxt = None
+        for b in range(bounds[c + 1], bounds[c], -BLOCK):
+            a = max(bounds[c], b - BLOCK)
+            p, common = np.asarray(falling_p[a:b])[::-1].copy(), None
+            if carries:
+                own = np.asarray(falling_l[a:b])[::-1]
+                if nxt is None:
+                    nxt = _shared(t, last, int(p[0]), cap) if last >= 0 else 0
+                common = np.empty(len(p), np.int16)
+                common[0], common[1:] = nxt, own[:-1]
+                nxt = int(own[-1])
+            yield p, common
+            scan.feed(p, common)
+    queues.close()
+
+
+def _starts(t, seeds, size: int) -> np.ndarray:
+    count = np.zeros(size + 1, np.int64)
+    for a in range(0, len(seeds), 1 << 20):
+        count[1:] += np.bincount(t[seeds[a : a + (1 << 20)]], minlength=size)
+    return np.cumsum(count)
+
+
+def _extended(t: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of pairs of suffixes that share `known` characters at least; pairs that differ early leave early."""
+    out = known.astype(np.int64)
+    at = np.flatnonzero(out < cap)
+    n = len(t)
     while len(at):
-        x = at[step < la[at]]
-        bad = t[a[x] + step] != t[b[x] + step]
-        equal[x[bad]] = False
-        at = x[~bad]
-        step += 1
-    rank = np.zeros(len(seeds), dtype=np.int64)
-    rank[k] = np.concatenate([[0], np.cumsum(~equal)])
-    width = 1
-    n = len(seeds)
-    while rank.max() < n - 1 and 2 * width < 2 * depth:
-        nxt = np.full(n, -1, dtype=np.int64)
-        nxt[:-width] = rank[width:] if width < n else nxt[:-width]
-        key = rank * (n + 1) + nxt + 1
-        o = np.argsort(key, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
-        new[o] = np.concatenate([[0], np.cumsum(np.diff(key[o]) != 0)])
-        rank = new
+        x, y = a[at] + out[at], b[at] + out[at]
+        inside = (x < n) & (y < n)
+        same = np.zeros(len(at), bool)
+        same[inside] = t[x[inside]] == t[y[inside]]
+        at = at[same]
+        out[at] += 1
+        at = at[out[at] < cap]
+    return np.minimum(out, cap).astype(np.int16)
+
+
+def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a short string of names, as far as `depth` of them tell them apart."""
+    n, rank, width = len(names), names.astype(np.int64), 1
+    while True:
+        order = np.argsort(rank, kind="stable")
+        if width >= depth or rank.max() == n - 1:
+            return order
+        nxt = np.zeros(n, np.int64)
+        nxt[: n - width] = rank[width:] + 1 if width < n else nxt[: n - width]
+        key = rank * (n + 1) + nxt
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         width *= 2
-    return seeds[np.argsort(rank, kind="stable")]
-
-
-def suffix_order(t: np.ndarray, depth: int, limit: int = 1 << 24) -> np.ndarray:
-    """Order of the suffixes of t by their first `depth` characters. t: small non-negative integers, of which the last is the only 0."""
-    size = int(t.max()) + 1
-    t = t.astype(np.int64) if size > 65535 else t.astype(np.uint16)
-    up = rising(t)
-    seeds = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    if len(t) == 1:
-        return np.zeros(1, dtype=np.int64)
-    return _induce(t, up, _seed_order(t, up, seeds, size, limit, depth), size, limit)
-
-
-def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the strings of `depth` characters at a and b are equal, by pairs; pairs that differ early leave early."""
-    same = np.ones(len(a), dtype=bool)
-    at = np.arange(len(a))
-    for k in range(depth):
-        bad = t[a[at] + k] != t[b[at] + k]
-        if bad.any():
-            same[at[bad]] = False
-            at = at[~bad]
-        if not len(at):
-            break
-    return same
+
+
+def _seeds_in_order(t, up, seeds, size: int, cap: int, scratch: Scratch, carries: bool = True):
+    """The S* in ascending order and each one's common prefix with the one before it."""
+    m, place = len(seeds), seeds.dtype
+    is_seed = scratch.empty(len(t), bool)
+    for a in range(0, m, 1 << 20):
+        is_seed[seeds[a : a + (1 << 20)]] = True
+    by_char = scratch.empty(m, place)
+    starts, fill = _starts(t, seeds, size), None
+    fill = starts[:-1].copy()
+    for a in range(0, m, BLOCK):
+        s = seeds[a : a + BLOCK]
+        c = t[s]
+        o = np.argsort(c, kind="stable")
+        c = c[o]
+        run = np.arange(len(c)) - np.searchsorted(c, c)
+        by_char[fill[c] + run] = s[o]
+        fill += np.bincount(c, minlength=size)
+    order, at = scratch.empty(m, place), m
+    for p, _ in induced(t, up, by_char, None, size, cap, scratch):
+        p = p[is_seed[p]]
+        order[at - len(p) : at] = p[::-1]
+        at -= len(p)
+    index = scratch.empty(len(t), place)  # of a seed among the seeds
+    for a in range(0, m, 1 << 20):
+        index[seeds[a : a + (1 << 20)]] = np.arange(a, min(m, a + (1 << 20)))
+    names = scratch.empty(m, np.int64)
+    count = 0
+    for a in range(0, m, 1 << 20):  # pieces run from one seed to the next, both included; equal ones are neighbours
+        s = np.asarray(order[max(0, a - 1) : a + (1 << 20)]).astype(np.int64)
+        k = np.asarray(index[s]).astype(np.int64)
+        end = np.where(k + 1 < m, seeds[np.minimum(k + 1, m - 1)], len(t) - 1)
+        size_of = end - s + 1
+        like = size_of[:-1] == size_of[1:]
+        pair = np.flatnonzero(like)
+        step = 0
+        while len(pair):
+            pair = pair[step < size_of[pair]]
+            bad = t[s[pair] + step] != t[s[pair + 1] + step]
+            like[pair[bad]] = False
+            pair = pair[~bad]
+            step += 1
+        new = np.cumsum(np.concatenate([[a == 0], ~like]))
+        if a:
+            new, k = new[1:], k[1:]
+        names[k] = count + new - 1
+        count += int(new[-1])
+    if count == m:
+        common = scratch.empty(m, np.int16)
+        known = lambda a, b: np.zeros(b - a, np.int64)
+        rank_order = order
+    else:
+        depth = cap // 2 + 2  # a piece goes on by two characters at least
+        if m <= SMALL or _digits(count) * m > 0.85 * len(t):  # a string that wouldn't shrink is sorted in memory as well
+            at_, shared = _doubled(np.asarray(names), depth), np.zeros(m, np.int64)
+        else:
+            at_, shared = _names_in_order(names, count, depth, scratch)
+        rank_order = scratch.empty(m, place)
+        common = scratch.empty(m, np.int16)
+        for a in range(0, m, 1 << 20):
+            rank_order[a : a + (1 << 20)] = seeds[at_[a : a + (1 << 20)]]
+
+        def known(a: int, b: int) -> np.ndarray:
+            i, k = np.asarray(at_[a:b]).astype(np.int64), np.asarray(shared[a:b]).astype(np.int64)
+            return np.where(k > 0, np.asarray(seeds[np.minimum(i + k, m - 1)]).astype(np.int64) - seeds[i] + (i + k < m), 0)
+
+    if carries:
+        for a in range(0, m, 1 << 20):
+            b = min(m, a + (1 << 20))
+            here = np.asarray(rank_order[a:b]).astype(np.int64)
+            prev = np.asarray(rank_order[max(0, a - 1) : b - (a == 0)]).astype(np.int64)
+            if a == 0:
+                prev = np.concatenate([here[:1], prev])
+            low = np.minimum(np.maximum(known(a, b), 0), cap)
+            got = _extended(t, prev[: len(here)], here, low, cap)
+            if a == 0:
+                got[0] = 0
+            common[a:b] = got
+    return rank_order, common
+
+
+def _digits(count: int) -> int:
+    return 1 if count <= DIGIT else 2 if count <= DIGIT * DIGIT else 3
+
+
+def _names_in_order(names, count: int, depth: int, scratch: Scratch):
+    """Order of the suffixes of a string of names, and how many names each shares with the one before: the same procedure over the digits of the names."""
+    m = len(names)
+    wide = _digits(count)
+    base = int(np.ceil(count ** (1 / wide))) + 1
+    u = scratch.empty(m * wide + 1, np.uint16)
+    for a in range(0, m, 1 << 20):
+        x = np.asarray(names[a : a + (1 << 20)])
+        for k in range(wide):
+            u[a * wide + k : (a + len(x)) * wide + k : wide] = (x // base ** (wide - 1 - k)) % base + 1
+    u[m * wide] = 0
+    order, shared, at = scratch.empty(m, np.int64), scratch.empty(m, np.int32), m
+    low = None  # least common prefix since the last whole name
+    for p, common in suffixes(u, depth * wide, scratch):
+        keep = np.flatnonzero((p % wide == 0) & (p < m * wide))
+        if low is not None and len(common):
+            common = common.copy()
+            common[0] = min(int(common[0]), low)
+        if len(keep):
+            least = np.minimum.reduceat(common[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))
+            order[at - len(keep) : at] = (p[keep] // wide)[::-1]
+            # in descending order a suffix's value is its prefix in common with the next greater one
+            vals = least // wide
+            lo = at - len(keep)
+            if at < m:
+                shared[at] = vals[0]
+            shared[lo + 1 : at] = vals[1:][::-1]
+            at = lo
+            rest = common[keep[-1] + 1 :]
+            low = int(rest.min()) if len(rest) else None
+        else:
+            low = min(low if low is not None else 1 << 14, int(common.min())) if len(common) else low
+    return order, shared
+
+
+def suffixes(t: np.ndarray, cap: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes of t in descending order of their first `cap` characters by blocks, each with its common prefix with the one before it, `cap` at most. t: small integers, of which the last is the only 0."""
+    n = len(t)
+    place = np.int32 if n < 1 << 31 else np.int64
+    if n == 1:
+        yield np.zeros(1, place), np.zeros(1, np.int16)
+        return
+    size = max(int(np.asarray(t[a : a + (1 << 20)]).max()) for a in range(0, n, 1 << 20)) + 1
+    up = rising(t, scratch)
+    found = []
+    for a in range(0, n, 1 << 20):
+        here = np.asarray(up[max(0, a - 1) : a + (1 << 20)])
+        found.append((np.flatnonzero(here[1:] & ~here[:-1]) + max(0, a - 1) + 1).astype(place))
+    seeds = scratch.empty(sum(map(len, found)), place)
+    at = 0
+    for f in found:
+        seeds[at : at + len(f)] = f
+        at += len(f)
+    del found
+    order, common = _seeds_in_order(t, up, seeds, size, cap, scratch)
+    yield from induced(t, up, order, common, size, cap, scratch)

@@ -1,13 +1,18 @@
-"""Suffix-array deduplication: bytes covered by a 400-byte string that also starts anywhere else are removed.
+"""Suffix-array deduplication: bytes covered by a 400-byte string that also starts anywhere else are removed, and repeated passages of more than 50 words are counted.
 
-Shards. Every window of 400 bytes has a minimiser, the least hash of its 32-byte strings, so equal windows have the same one at the same place. Runs of window starts with one minimiser are the
-unit: rows of (minimiser, digest of the run's bytes, document, start). Minimisers that occur once drop out, runs whose bytes are identical are one class that is covered whole, and only one
-run per class goes on, with its bytes, to the shard of its minimiser. A shard holds a bounded number of bytes on average, whatever the size of the corpus.
+Runs. Every window of PASSAGE bytes has a minimiser, the least hash of its GRAM-byte strings, so equal windows have the same one at the same place. Runs of window starts with one minimiser are the
+unit: rows of (minimiser, digest of the run's context, document, start). A context is the run and what its last window of WINDOW bytes reaches. Minimisers that occur once drop out, and runs
+whose contexts are identical are one class that is covered whole.
 
-Sorting. Each shard's text is suffix-sorted by induced.suffix_order, whose queues spill to disk; neighbours in that order with 400 bytes in common mark both windows as repeated.
-Classes hand their spans back to all their runs, and a document's spans are merged and cut out. Strings are judged on the input, and contexts never cross documents.
+Anchors. A window of PASSAGE bytes around a minimiser holds SIDE more bytes on its left or on its right, so equal windows share one of two longer strings, the anchors of their contexts. Contexts
+are dealt by anchor, each side apart, and an anchor that one context alone has is left out before anything is sorted. This parts a frequent minimiser by its surroundings; only contexts
+with 32 + SIDE equal bytes still meet.
 
-Defined results: a null or empty text has no bytes and nothing removed; texts under 400 bytes are never touched; two equal rows remove each other's windows wholly; documents are known by their id,
+Sorting. A shard streams its contexts, ordered by anchor, into a text that is suffix-sorted by induced.suffixes, in files beyond its limits; neighbours among the run starts in that order with
+WINDOW or PASSAGE bytes in common mark both as repeated. Classes hand their spans back to all their runs, and a document's spans are merged and cut out. Strings are judged on the input, and
+contexts never cross documents.
+
+Defined results: a null or empty text has no bytes and nothing removed; texts under 400 bytes lose nothing; two equal rows remove each other's windows wholly; documents are known by their id,
 and if an id repeats, spans found in any of its rows apply to each; an empty table gives an empty table; extra columns aren't read.
 """
 
@@ -20,9 +25,12 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .shared import discard, written
 
-WINDOW, GRAM = 400, 32
+#: Bytes of a string that is removed, of the least repeated stretch that is looked at, and words that make one a passage if there are more.
+WINDOW, PASSAGE, PASSAGE_WORDS = 400, 256, 50
+GRAM = 32
+SIDE = (PASSAGE - GRAM) // 2
 #: Bytes of a shard, about.
-SHARD = 3_000_000
+SHARD = 6_000_000
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -44,165 +52,304 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_runs(data: np.ndarray) -> list[tuple[int, int, int]]:
-    """(minimiser, first start, number of starts) of the runs of windows with one minimiser."""
-    out: list[tuple[int, int, int]] = []
-    for at in range(0, max(1, len(data) - WINDOW + 1), _SEGMENT):
-        part = data[at : at + _SEGMENT + WINDOW - 1]
-        if len(part) < WINDOW:
+def window_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, first start, number of starts and place of the minimiser behind the first start, of the runs of windows with one minimiser."""
+    out: list[tuple] = []
+    for at in range(0, max(1, len(data) - PASSAGE + 1), _SEGMENT):
+        part = data[at : at + _SEGMENT + PASSAGE - 1]
+        if len(part) < PASSAGE:
             break
         h = gram_hashes(part)
-        width = WINDOW - GRAM + 1
+        width = PASSAGE - GRAM + 1
         key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # leftmost of equal hashes
         short = -len(key) % width
         rows = np.concatenate([key, np.full(short, np.iinfo(np.uint64).max, dtype=np.uint64)]).reshape(-1, width)
         left = np.minimum.accumulate(rows, axis=1).ravel()
         right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(part) - WINDOW + 1
+        n = len(part) - PASSAGE + 1
         place = (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [n]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            out.append((int(h[place[a]].view(np.int64)), int(at + a), int(b - a)))
-    return out
+        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        out.append((h[place[first]].view(np.int64), at + first, np.diff(np.append(first, n)), place[first] - first))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _bytes(text) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+_RUN = "hash long, digest binary, doc_id long, start int, starts int, size int, at int"
 
 
 def runs_of(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). (hash, digest, doc_id, start, starts) of every run."""
+    """docs: (doc_id, text). Every run: minimiser, digest of the context, document, first start, number of starts, bytes of the context, place of the minimiser."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def run(batches):
-        import xxhash
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            parts: list[tuple] = []
+            digests: list[bytes] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(raw) < WINDOW:
+                raw = _bytes(text.as_py())
+                if len(raw) < PASSAGE:
                     continue
-                for h, s, k in window_runs(np.frombuffer(raw, dtype=np.uint8)):
-                    for c, v in zip(cols, (h, xxhash.xxh3_128_digest(raw[s : s + k + WINDOW - 1]), doc, s, k)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())],
-                ["hash", "digest", "doc_id", "start", "starts"],
-            )
+                h, s, k, at = window_runs(np.frombuffer(raw, dtype=np.uint8))
+                e = np.minimum(len(raw), s + k + WINDOW - 1)
+                digests += [xxh3_128_digest(raw[a:b]) for a, b in zip(s.tolist(), e.tolist())]
+                parts.append((h, np.full(len(h), doc), s, k, e - s, at))
+            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
+            arrays = [pa.array(cols[0], pa.int64()), pa.array(digests, pa.binary()), pa.array(cols[1], pa.int64()), *(pa.array(c.astype(np.int32), pa.int32()) for c in cols[2:])]
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _RUN.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "hash long, digest binary, doc_id long, start int, starts int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _RUN)
 
 
 def contexts_of(docs: DataFrame) -> DataFrame:
-    """docs: (text, picks: array of hash, digest, start, starts). (hash, digest, bytes) of each pick."""
+    """docs: (text, picks: array of hash, digest, start, starts, size, at). A row for each side on which a pick has an anchor: side, anchor, and the context."""
     import pyarrow as pa
 
+    names, types = ["side", "anchor", "hash", "digest", "starts", "bytes"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
     def run(batches):
+        from xxhash import xxh3_64_intdigest
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[] for _ in names]
+            held = 0
             for text, picks in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = _bytes(text.as_py())
                 for p in picks:
-                    for c, v in zip(cols, (p["hash"], p["digest"], raw[p["start"] : p["start"] + p["starts"] + WINDOW - 1])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["hash", "digest", "bytes"])
-
-    return docs.select("text", "picks").mapInArrow(run, "hash long, digest binary, bytes binary")
-
-
-def merged(starts: np.ndarray) -> list[tuple[int, int]]:
+                    body = raw[p["start"] : p["start"] + p["size"]]
+                    g = p["at"]
+                    sides = []
+                    if g >= SIDE:
+                        sides.append((0, body[g - SIDE : g + GRAM]))
+                    if g + GRAM + SIDE <= len(body):
+                        sides.append((1, body[g : g + GRAM + SIDE]))
+                    for side, anchor in sides:
+                        for c, v in zip(cols, (side, signed(xxh3_64_intdigest(anchor)), p["hash"], p["digest"], p["starts"], body)):
+                            c.append(v)
+                        held += len(body)
+                    if held > 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                        cols, held = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    return docs.select("text", "picks").mapInArrow(run, "side int, anchor long, hash long, digest binary, starts int, bytes binary")
+
+
+def merged(starts: np.ndarray, width: int = WINDOW) -> list[tuple[int, int]]:
     """Maximal [start, end) covered by the windows at sorted starts."""
     if not len(starts):
         return []
-    cuts = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-    return [(int(p[0]), int(p[-1]) + WINDOW) for p in np.split(starts, cuts)]
+    cuts = np.flatnonzero(np.diff(starts) > width) + 1
+    return [(int(p[0]), int(p[-1]) + width) for p in np.split(starts, cuts)]
+
+
+class Shard:
+    """The text of a shard, added context by context and held in a file; its repeated starts by an external sort."""
+
+    def __init__(self, scratch):
+        self.scratch, self.file = scratch, scratch.file()
+        self.size = 0
+        self.begin: list[int] = []
+        self.starts: list[int] = []
+        self.names: list[tuple] = []
+
+    def add(self, name: tuple, starts: int, body: bytes) -> None:
+        self.begin.append(self.size)
+        self.starts.append(starts)
+        self.names.append(name)
+        self.file.write(body + b"\0")
+        self.size += len(body) + 1
+
+    def repeated(self) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
+        """(name, starts with WINDOW bytes that also start elsewhere, those with PASSAGE bytes) of each context that has any."""
+        from .induced import suffixes
+
+        n = self.size + 1
+        begin, starts = np.array(self.begin), np.array(self.starts)
+        ends = np.append(begin[1:], self.size) - 1
+        t, own = self.scratch.empty(n, np.uint16), self.scratch.empty(n, bool)
+        self.file.seek(0)
+        at = 0
+        while data := self.file.read(1 << 20):
+            t[at : at + len(data)] = np.frombuffer(data, np.uint8).astype(np.uint16) + 2
+            at += len(data)
+        self.file.close()
+        for b, k, e in zip(self.begin, self.starts, ends.tolist()):
+            own[b : b + k] = True
+            t[e] = 1
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        before, low = -1, 0
+        for p, common in suffixes(t, WINDOW, self.scratch):
+            common = common.copy()
+            if before >= 0:
+                common[0] = min(int(common[0]), low)
+            keep = np.flatnonzero(own[p])
+            if not len(keep):
+                low = int(common.min())
+                continue
+            least = np.minimum.reduceat(common[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))
+            mine = p[keep].astype(np.int64)
+            prev = np.concatenate([[before], mine[:-1]])
+            found = np.flatnonzero((least >= PASSAGE) & (prev >= 0))
+            if len(found):
+                hits.append((np.concatenate([mine[found], prev[found]]), np.tile(least[found], 2)))
+            before = int(mine[-1])
+            rest = common[keep[-1] + 1 :]
+            low = int(rest.min()) if len(rest) else WINDOW
+        if not hits:
+            return []
+        places, common = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        home = np.searchsorted(begin, places, side="right") - 1
+        common = np.minimum(common, ends[home] - places)  # nothing counts beyond the end of a context
+        out = []
+        order = np.lexsort((places, home))
+        home, places, common = home[order], places[order], common[order]
+        for part in np.split(np.arange(len(home)), np.flatnonzero(np.diff(home)) + 1):
+            k = int(home[part[0]])
+            rel = places[part] - begin[k]
+            wide, some = np.unique(rel[common[part] >= WINDOW]), np.unique(rel[common[part] >= PASSAGE])
+            if len(some):
+                out.append((self.names[k], wide, some))
+        return out
+
+
+def repeated_starts(parts: list[bytes], starts: list[int] | None = None, limit: int = 64 << 20, queued: int = 1 << 22) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the contexts its starts (by default all that have room for a window) with WINDOW and with PASSAGE bytes that also start elsewhere in one of them."""
+    from .induced import Scratch
+
+    none = np.zeros(0, np.int64)
+    out = [(none, none)] * len(parts)
+    with Scratch(limit, queued) as scratch:
+        shard = Shard(scratch)
+        for k, body in enumerate(parts):
+            shard.add((k,), starts[k] if starts else max(0, len(body) - PASSAGE + 1), body)
+        for (k,), wide, some in shard.repeated():
+            out[k] = (wide, some)
+    return out
 
 
-def repeated_starts(parts: list[bytes], limit: int = 1 << 24) -> list[np.ndarray]:
-    """For each of the contexts, the window starts in it whose WINDOW bytes also start elsewhere in one of them."""
-    text = np.concatenate([x for p in parts for x in (np.frombuffer(p, dtype=np.uint8).astype(np.uint16) + 2, np.ones(1, dtype=np.uint16))] + [np.zeros(1, dtype=np.uint16)])
-    sizes = np.array([len(p) for p in parts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    valid = np.zeros(len(text), dtype=bool)
-    for b, n in zip(begin, sizes):
-        valid[b : b + max(0, n - WINDOW + 1)] = True
-    from .induced import common, suffix_order
+_SPANS = "array<struct<s:int,e:int,wide:boolean>>"
 
-    order = suffix_order(text, WINDOW, limit)
-    order = order[valid[order]]
-    same = common(text, order[:-1], order[1:], WINDOW)
-    hit = np.zeros(len(text), dtype=bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begin, sizes)]
 
+def _sort_shards(batches):
+    """Rows in order of shard and anchor to (hash, digest, spans); a shard's contexts go to its file as they come."""
+    import pyarrow as pa
+
+    from .induced import Scratch
 
-def _sort_shard(pdf):
-    import pandas as pd
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("wide", pa.bool_())]))]
 
-    rows = pdf.drop_duplicates(["hash", "digest"]).reset_index(drop=True)
-    found = repeated_starts([bytes(b) for b in rows["bytes"]])
-    spans = [[{"s": a, "e": b} for a, b in merged(x)] for x in found]
-    keep = [k for k, s in enumerate(spans) if s]
-    return pd.DataFrame({"hash": rows["hash"].iloc[keep].to_numpy(), "digest": [bytes(d) for d in rows["digest"].iloc[keep]], "spans": [spans[k] for k in keep]})
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def done(shard):
+        found = shard.repeated()
+        spans = [[{"s": a, "e": b, "wide": True} for a, b in merged(wide)] + [{"s": a, "e": b, "wide": False} for a, b in merged(some, PASSAGE)] for _, wide, some in found]
+        return pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], kinds[0]), pa.array([f[0][1] for f in found], kinds[1]), pa.array(spans, kinds[2])], ["hash", "digest", "spans"])
+
+    current, shard, first, last, scratch = None, None, None, None, None
+    try:
+        for number, anchor, hash_, digest, starts, body in rows():
+            if number != current:
+                if shard is not None and shard.names:
+                    yield done(shard)
+                if scratch is not None:
+                    scratch.__exit__()
+                scratch = Scratch()
+                current, shard, first, last = number, Shard(scratch), None, None
+            if anchor != last:
+                first, last = (hash_, digest, starts, body), anchor  # waits for a second one
+                continue
+            if first is not None:
+                shard.add(first[:2], first[2], first[3])
+                first = None
+            shard.add((hash_, digest), starts, body)
+        if shard is not None and shard.names:
+            yield done(shard)
+    finally:
+        if scratch is not None:
+            scratch.__exit__()
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal runs of sorted spans within raw, and what remains without them."""
+    runs: list[list[int]] = []
+    for s, e in spans:
+        e = min(e, len(raw))
+        if s < e:
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], e)
+            else:
+                runs.append([s, e])
+    kept, at = [], 0
+    for s, e in runs:
+        kept.append(raw[at:s])
+        at = e
+    return [tuple(r) for r in runs], b"".join([*kept, raw[at:]])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, spans) of every row of docs (doc_id, text); kept: the bytes that remain."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, spans, n_passages) of every row of docs (doc_id, text). kept: the bytes that remain; n_passages: maximal repeated stretches of PASSAGE bytes and
+    more than PASSAGE_WORDS words, which a text may keep."""
     import pyarrow as pa
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = written(runs_of(docs))
-    row = F.struct("doc_id", "start", "starts")
-    classes = runs.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("row"))
-    classes = written(classes)
+    row = F.struct("doc_id", "start", "starts", "size", "at")
+    classes = written(runs.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("row")))
     shared = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select(F.greatest("hash", F.lit(-(1 << 63))).alias("hash"))
-    picks = written(classes.join(shared, "hash").select("hash", "digest", "row.doc_id", "row.start", "row.starts"))
-    total = picks.agg(F.sum(F.col("starts") + WINDOW)).first()[0] or 0
-    per_doc = picks.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest", "start", "starts")).alias("picks"))
+    picks = written(classes.join(shared, "hash").select("hash", "digest", "row.*"))
+    total = picks.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    per_doc = picks.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest", "start", "starts", "size", "at")).alias("picks"))
     contexts = contexts_of(docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")))
     shards = max(1, int(total) // SHARD)
-    found = contexts.withColumn("shard", F.pmod("hash", F.lit(shards))).groupBy("shard").applyInPandas(_sort_shard, "hash long, digest binary, spans array<struct<s:int,e:int>>")
-    found = written(found)
+    # a shard has anchors of one side only, so that no context meets itself
+    numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 2 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "bytes")
+    found = written(numbered.repartition(2 * shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, f"hash long, digest binary, spans {_SPANS}"))
     discard(picks)
-    whole = classes.where("c > 1").select("hash", "digest", F.expr(f"array(named_struct('s', 0, 'e', row.starts + {WINDOW - 1}))").alias("spans"))
+    whole = classes.where("c > 1").select(
+        "hash", "digest",
+        F.expr(
+            f"filter(array(named_struct('s', 0, 'e', row.starts + {PASSAGE - 1}, 'wide', false), named_struct('s', 0, 'e', least(row.starts - 1, row.size - {WINDOW}) + {WINDOW}, 'wide', true)), "
+            f"x -> not x.wide or row.size >= {WINDOW})"
+        ).alias("spans"),
+    )
     marked = found.join(whole.select("hash", "digest"), ["hash", "digest"], "left_anti").unionByName(whole)
     marked = marked.select(F.greatest("hash", F.lit(-(1 << 63))).alias("hash"), F.concat("digest", F.lit(b"")).alias("digest"), "spans")
-    hits = runs.join(marked, ["hash", "digest"]).select("doc_id", F.expr("transform(spans, x -> named_struct('s', x.s + start, 'e', x.e + start))").alias("spans"))
+    hits = runs.join(marked, ["hash", "digest"]).select("doc_id", F.expr("transform(spans, x -> named_struct('s', x.s + start, 'e', x.e + start, 'wide', x.wide))").alias("spans"))
     spans = written(hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).withColumnRenamed("doc_id", "_id"))
 
     def cut(batches):
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "n_passages"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.int64()]
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in names]
             for doc, text, found_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs_: list[list[int]] = []
-                for x in found_ or ():
-                    s, e = x["s"], min(x["e"], len(raw))
-                    if s >= e:
-                        continue
-                    if runs_ and s <= runs_[-1][1]:
-                        runs_[-1][1] = max(runs_[-1][1], e)
-                    else:
-                        runs_.append([s, e])
-                kept, at = [], 0
-                for s, e in runs_:
-                    kept.append(raw[at:s])
-                    at = e
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                for c, v in zip(cols, (doc, len(raw), len(raw) - len(rest), len(runs_), rest, [{"s": s, "e": e} for s, e in runs_])):
+                raw = _bytes(text.as_py())
+                runs_, rest = _cut(raw, [(x["s"], x["e"]) for x in found_ or () if x["wide"]])
+                some, _ = _cut(raw, [(x["s"], x["e"]) for x in found_ or ()])
+                passages = sum(len(raw[s:e].split()) > PASSAGE_WORDS for s, e in some)
+                for c, v in zip(cols, (doc, len(raw), len(raw) - len(rest), len(runs_), rest, [{"s": s, "e": e} for s, e in runs_], passages)):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     for done in (runs, classes, found):
         discard(done)
     joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>, n_passages long")
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and repeated: whether the text has a passage of more than PASSAGE_WORDS words that also stands elsewhere, be it shorter than what is removed."""
     from .shared import table
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_passages") > 0).alias("repeated"))

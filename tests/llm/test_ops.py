@@ -271,31 +271,88 @@ def test_warc(spark, tmp_path):
         warc.parse(warc.record(1, "u", b"abc", None).replace(b"WARC-Date", b"WARC-Nope"))
 
 
-def test_induced_sorting_against_brute_force():
+def test_induced_sorting_against_brute_force(monkeypatch):
+    """Order and common prefixes, with and without files, with every level forced to recur and with blocks of one."""
     rng = random.Random(1)
     for _ in range(150):
-        t = np.array([rng.randint(1, rng.choice([1, 2, 3, 20])) for _ in range(rng.randint(1, 120))] + [0])
-        assert list(induced.suffix_order(t, 10**6, limit=rng.choice([4, 1 << 20]))) == sorted(range(len(t)), key=lambda i: tuple(t[i:]))
-
-
-def test_substring_dedup(spark, empty):
-    rng = random.Random(2)
-    prose = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
-    shared_, twice = prose(700), prose(500)
-    texts = [None, "", prose(399), prose(900), prose(300) + shared_ + prose(200), shared_[50:600] + prose(800), prose(100) + shared_[:420], twice, twice, "For " * 400, prose(100) + "x" * 900 + prose(300), prose(50) + shared_[100:450] + prose(300)]
-    raws = [(t or "").encode() for t in texts]
+        monkeypatch.setattr(induced, "SMALL", rng.choice([3, 20_000]))
+        monkeypatch.setattr(induced, "DIGIT", rng.choice([2, 5, 1500]))
+        monkeypatch.setattr(induced, "BLOCK", rng.choice([1, 3, 1 << 16]))
+        t = np.array([rng.randint(1, rng.choice([1, 2, 3, 20])) for _ in range(rng.randint(1, 120))] + [0], dtype=np.uint16)
+        with induced.Scratch(rng.choice([0, 8, 1 << 26]), rng.choice([2, 1 << 22])) as scratch:
+            blocks = [(p.copy(), c.copy()) for p, c in induced.suffixes(t, 1000, scratch)]
+        order, common = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+        assert list(order) == sorted(range(len(t)), key=lambda i: tuple(t[i:]), reverse=True)
+        for k in range(1, len(t)):
+            a, b, n = order[k], order[k - 1], 0
+            while max(a, b) + n < len(t) and t[a + n] == t[b + n]:
+                n += 1
+            assert common[k] == n
+
+
+def test_shard_beyond_its_memory():
+    """Text and queues far beyond the limits: a megabyte of text over limits of 10,000 bytes and 1,000 tuples."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    shared_ = [prose(90) for _ in range(20)]
+    parts = [prose(rng.randint(30, 120)) + (rng.choice(shared_) if rng.random() < 0.3 else b"") + prose(40) for _ in range(1200)]
+    held = induced.Scratch(10_000, 1_000)
+    shard = substring_dedup.Shard(held)
+    with held:
+        for k, body in enumerate(parts):
+            shard.add((k,), max(0, len(body) - 255), body)
+        found = {k: (set(w.tolist()), set(s.tolist())) for (k,), w, s in shard.repeated()}
+    assert shard.size > 900_000 and held.on_disk > 20 * shard.size
+    for width, which in ((400, 0), (256, 1)):
+        count = collections.Counter(p[i : i + width] for p in parts for i in range(len(p) - width + 1))
+        for k, p in enumerate(parts):
+            assert found.get(k, (set(), set()))[which] == {i for i in range(len(p) - width + 1) if count[p[i : i + width]] > 1}
+
+
+def removed(raws):
     count = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for k, raw in enumerate(raws):
+    for raw in raws:
         cover = bytearray(len(raw))
         for i in range(len(raw) - 399):
             if count[raw[i : i + 400]] > 1:
                 cover[i : i + 400] = b"\1" * 400
         spans = sum(1 for i in range(len(raw)) if cover[i] and (not i or not cover[i - 1]))
-        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, bytes(got[k].kept)) == (len(raw), sum(cover), spans, bytes(b for b, c in zip(raw, cover) if not c)), k
+        yield len(raw), sum(cover), spans, bytes(b for b, c in zip(raw, cover) if not c)
+
+
+def test_substring_dedup(spark, empty, monkeypatch):
+    rng = random.Random(2)
+    prose = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
+    shared_, twice, hot = prose(700), prose(500), prose(300)
+    texts = [None, "", prose(399), prose(900), prose(300) + shared_ + prose(200), shared_[50:600] + prose(800), prose(100) + shared_[:420], twice, twice, "For " * 400, prose(100) + "x" * 900 + prose(300), prose(50) + shared_[100:450] + prose(300)]
+    texts += [prose(rng.randint(0, 600)) + hot + prose(rng.randint(0, 600)) for _ in range(60)]  # one short passage with other surroundings each time
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(removed([(t or "").encode() for t in texts])))
+    for shard in (substring_dedup.SHARD, 5_000):
+        monkeypatch.setattr(substring_dedup, "SHARD", shard)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.remove_repeats(frame).collect()}
+        assert got == want
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_on_a_whole_table(spark):
+    """op9 over all documents of the smallest table."""
+    from glyphmill.llm import registry
+
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = {d: (n, k, s, hashlib.sha256(rest).hexdigest()) for (d, _), (n, k, s, rest) in zip(docs, removed([raw for _, raw in docs]))}
+    rows_ = registry.queries()["op9_suffix_array_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows_} == want
+    seen = collections.defaultdict(set)
+    words_ = {d: raw.split() for d, raw in docs}
+    for d, w in words_.items():
+        for i in range(len(w) - 50):
+            seen[tuple(w[i : i + 51])].add(d)
+    long_ones = {d for d, w in words_.items() for i in range(len(w) - 50) if len(b" ".join(w[i : i + 51])) >= 256 and len(seen[tuple(w[i : i + 51])]) > 1}
+    assert long_ones <= {r.doc_id for r in rows_ if r.repeated}
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
