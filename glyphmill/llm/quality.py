@@ -44,7 +44,7 @@ RULES = (
     Rule("word_length", "{word_chars} < 2 * {n_words} or {word_chars} > 14 * {n_words}"),
     Rule("bullet_lines", "{n_lines} > 2 and 10 * {n_bullet_lines} > 9 * {n_lines}"),
     Rule("ellipsis_lines", "{n_lines} > 2 and 10 * {n_ellipsis_lines} > 3 * {n_lines}"),
-    Rule("letterless_words", "10 * {n_letterless} > 3 * {n_words}"),
+    Rule("letterless_words", "2 * {n_letterless} > {n_words}"),
 )
 BASE_RULES = ("too_few_words", "repeated_windows")
 
@@ -173,7 +173,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT ((n_lines > 2 AND (10 * n_bullet > 9 * n_lines OR 10 * n_ellipsis > 3 * n_lines)) OR 10 * n_letterless > 3 * n_words OR n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
+  NOT ((n_lines > 2 AND (10 * n_bullet > 9 * n_lines OR 10 * n_ellipsis > 3 * n_lines)) OR 2 * n_letterless > n_words OR n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
        OR word_chars < 2 * n_words OR word_chars > 14 * n_words) AS kept
 FROM m
 """

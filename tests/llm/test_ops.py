@@ -160,7 +160,7 @@ def test_quality(docs, rows, empty):
     assert {x["rule"].name for x in order} == {r.name for r in quality.RULES}
     judged = {r.doc_id: r.rejected_by for r in quality.apply_rules(docs).collect()}
     letterless = {i: sum(not re.search(r"[^\W\d_]", w) for w in WORD.findall(t or "")) for i, t, *_ in rows}
-    bad = {i for i, (n, c, s, d, k) in got.items() if n < 10 or 100 * k > 20 * n or 10 * s > n or c > 14 * n or c < 2 * n or 10 * letterless[i] > 3 * n}
+    bad = {i for i, (n, c, s, d, k) in got.items() if n < 10 or 100 * k > 20 * n or 10 * s > n or c > 14 * n or c < 2 * n or 2 * letterless[i] > n}
     assert {i for i, r in judged.items() if r} == bad
     assert quality.apply_rules(empty).count() == 0 and quality.apply_rules(docs).columns == docs.columns + ["rejected_by"]
 
