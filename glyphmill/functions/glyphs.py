@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import SPACE_CLASS, let
+from .rx import CLOSE, OPEN, SPACES
 
 #: Entity spellings that decode to each glyph.
 DECODE = {
@@ -57,25 +59,71 @@ ENCODE = {
 }
 
 
-def decode(c: Column) -> Column:
-    """Spellings to glyphs; &amp;, &lt; and &gt; stay, so nothing decodes twice."""
+_FOLD, _GLYPH = re.compile("[" + "".join(FOLD) + "]"), re.compile("[" + "".join(ENCODE) + "]")
+_SPELLED = {name: glyph for glyph, names in DECODE.items() for name in names.split()}
+_SPELLING = re.compile("|".join(sorted(map(re.escape, _SPELLED), key=len, reverse=True)))
+_NUMERIC = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));")
+_REFERENCES = re.compile(r"(?:\s|&[#0-9A-Za-z]+;)+")
+_OPAQUE = re.compile(f"{OPEN}[NHWF]\\d+{CLOSE}|</?[a-zA-Z!?][^<>]*>")
+
+
+# --- texts ---
+def decoded(t: str) -> str:
+    """Spellings to glyphs in one pass; &amp;, &lt; and &gt; stay, so nothing decodes twice."""
+    if not t.isascii():
+        t = _FOLD.sub(lambda m: FOLD[m[0]], t)
+    return _SPELLING.sub(lambda m: _SPELLED[m[0]], t) if "&" in t else t
+
+
+def encoded(t: str, xml: bool = False) -> str:
+    """Glyphs to entities; XML knows five names, so there they are numeric."""
+    if t.isascii():
+        return t
+    return _GLYPH.sub((lambda m: f"&#{ord(m[0])};") if xml else (lambda m: ENCODE[m[0]]), t)
+
+
+def line_ends(t: str) -> str:
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub("\n{3,}", "\n\n", t) if "\n\n\n" in t else t
+
+
+def _blank(t: str) -> bool:
+    if not t.strip(SPACES):
+        return True
+    if not _REFERENCES.fullmatch(t):
+        return False
+
+    def read(m: re.Match) -> str:
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(code) if code <= 0x10FFFF else m[0]
 
-    def entities(x: Column) -> Column:
-        for glyph, names in DECODE.items():
-            x = F.regexp_replace(x, F.lit("|".join(names.split())), F.lit(glyph))
-        return x
+    return not _NUMERIC.sub(read, decoded(t)).strip(SPACES)
 
+
+def shows_nothing(t: str) -> bool:
+    """Whether a content is white space once decoded, leaving out tags and what shows nothing itself."""
+    return _blank(t) or ("<" in t or OPEN in t) and _blank(_OPAQUE.sub("", t))
+
+
+def units(t: str) -> int:
+    """Length in UTF-16 code units."""
+    return len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2
+
+
+# --- columns ---
+def decode(c: Column) -> Column:
+    """The same as decoded, as a column."""
     folded = F.translate(c, "".join(FOLD), "".join(FOLD.values()))
-    return let(folded, lambda x: F.when(x.rlike("&[a-zA-Z#]"), entities(x)).otherwise(x))
+    for glyph, names in DECODE.items():
+        folded = F.regexp_replace(folded, F.lit("|".join(names.split())), F.lit(glyph))
+    return folded
 
 
 def _encode(c: Column, names: dict[str, str]) -> Column:
-    def all_(x: Column) -> Column:
-        for glyph, name in names.items():
-            x = F.replace(x, F.lit(glyph), F.lit(name))
-        return x
-
-    return let(c, lambda x: F.when(x.rlike("[" + "".join(names) + "]"), all_(x)).otherwise(x))
+    for glyph, name in names.items():
+        c = F.replace(c, F.lit(glyph), F.lit(name))
+    return c
 
 
 def encode_html(c: Column) -> Column:
@@ -87,13 +135,6 @@ def encode_xml(c: Column) -> Column:
     return _encode(c, {g: f"&#{ord(g)};" for g in ENCODE})
 
 
-def newlines(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n{3,}", "\n\n")
-
-
-def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
-
-
 def utf16_length(c: Column) -> Column:
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 code units: two for each character beyond the basic plane."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))

@@ -1,20 +1,23 @@
-"""Regular expressions and column idioms.
+"""Regular expressions and the idioms that rules are made of.
 
-Rule patterns are written in the ECMAScript dialect in which the norms are published and translated to java.util.regex, where white space, the end anchor, the dot
-and brackets inside classes mean something else.
+Rule patterns are written in the ECMAScript dialect in which the norms are published, where white space, digits, the end anchor, the dot and brackets inside classes mean something
+else than here. They are compiled once a configuration and worker. A rule also says which characters a text must hold for it to do anything, so that most rules cost a
+set comparison on most texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import regex
 
 NBSP, NNBSP, THINSP = "\u00a0", "\u202f", "\u2009"
 OPEN, CLOSE = "\ue000", "\ue001"
 #: Fixed value: white space as ECMAScript defines it.
 SPACE_CLASS = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 #: What may stand before content, before a wrapped phrase, and after content.
 _BRACKETS = "([{«„"
@@ -24,103 +27,104 @@ CONTENT_START_GROUP = f"(^|[{CONTENT_START}])"
 WRAPPER_START_GROUP = f"(^|[{_INSIDE}])"
 CONTENT_END = rf"(?=[\s.,;:!?±%<{OPEN})\]}}»“…]|$)"
 
+Step = Callable[[str], str]
+_SHORT = {r"\s": SPACE_CLASS, r"\d": "0-9"}
+_NEGATED = {r"\S": SPACE_CLASS, r"\D": "0-9"}
+_BRACED = re.compile(r"\\u\{([0-9A-Fa-f]+)\}")
 
-def java(pattern: str, ignore_case: bool = False) -> str:
-    """The same pattern for java.util.regex. `@S` stands for the content boundary before, `@W` for the wrapper boundary, `@E` for the boundary after."""
+
+def translated(pattern: str) -> str:
+    """The same pattern in Python's dialect. `@S` stands for the content boundary before, `@W` for the wrapper boundary, `@E` for the boundary after."""
     p = pattern.replace("@S", CONTENT_START_GROUP).replace("@W", WRAPPER_START_GROUP).replace("@E", CONTENT_END)
-    out, i, inside = [], 0, False
-    while i < len(p):
-        c, two = p[i], p[i : i + 2]
-        if two == r"\u" and p[i + 2 : i + 3] == "{":
-            end = p.index("}", i)
-            out.append(f"\\x{{{p[i + 3 : end]}}}")
-            i = end + 1
-            continue
-        if two == r"\s":
-            out.append(SPACE_CLASS if inside else f"[{SPACE_CLASS}]")
-        elif two == r"\S" and not inside:
-            out.append(f"[^{SPACE_CLASS}]")
-        elif c == "\\":
-            out.append(two)
+    p = _BRACED.sub(lambda m: f"\\u{int(m[1], 16):04x}", p)
+    out, inside = [], False
+    pieces = iter(re.findall(r"\\u[0-9A-Fa-f]{4}|\\[pP]\{\w+\}|\\.|\[\^?|[\s\S]", p))
+    for c in pieces:
+        if c in _SHORT:
+            out.append(_SHORT[c] if inside else f"[{_SHORT[c]}]")
+        elif c in _NEGATED and not inside:
+            out.append(f"[^{_NEGATED[c]}]")
+        elif c[0] == "[":
+            out.append(c if not inside else r"\[" + ("" if c == "[" else r"\^"))
+            inside = True
+        elif c == "]":
+            inside = False
+            out.append(c)
+        elif inside or c not in ("$", "."):
+            out.append(c)
         else:
-            if c == "[" and not inside:
-                inside = True
-                out.append("[^" if p[i + 1 : i + 2] == "^" else "[")
-                i += 2 if p[i + 1 : i + 2] == "^" else 1
-                continue
-            if c == "]" and inside:
-                inside = False
-                out.append("]")
-            elif inside and c == "[":
-                out.append(r"\[")
-            elif not inside and c == "$":
-                out.append(r"\z")
-            elif not inside and c == ".":
-                out.append(r"[^\n\r\u2028\u2029]")
-            else:
-                out.append(c)
-            i += 1
-            continue
-        i += 2
-    return ("(?iu)" if ignore_case else "") + "".join(out)
+            out.append(r"\Z" if c == "$" else r"[^\n\r\u2028\u2029]")
+    return "".join(out)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body over a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+@lru_cache(maxsize=None)
+def compiled(pattern: str, ignore_case: bool = False):
+    """The standard library's engine where it knows the pattern; the other for properties and look-behinds of any width."""
+    p = translated(pattern)
+    if not re.search(r"\\[pP]\{", p):
+        try:
+            return re.compile(p, re.I if ignore_case else 0)
+        except re.error:
+            pass
+    return regex.compile(p, regex.I if ignore_case else 0)
 
 
-def sub(pattern: str, replacement: str, ignore_case: bool = True) -> Callable[[Column], Column]:
-    p = java(pattern, ignore_case)
-    return lambda c: F.regexp_replace(c, F.lit(p), F.lit(replacement))
+def sub(pattern: str, replacement: str, ignore_case: bool = True) -> Step:
+    """Replaces all matches; $1 to $9 are groups."""
+    template = re.sub(r"\$([1-9])", r"\\g<\1>", replacement.replace("\\$", "\0").replace("\\", r"\\")).replace("\0", "$")
+    p = compiled(pattern, ignore_case)
+    return lambda t: p.sub(template, t)
 
 
-def when_hint(hint: str | None, step: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """step only for values that match the hint (a Java pattern)."""
-    if hint is None:
-        return step
-    return lambda c: let(c, lambda x: F.when(x.rlike(hint), step(x)).otherwise(x))
+def mapped(pattern: str, body: Callable[[re.Match], str], ignore_case: bool = True) -> Step:
+    """Replaces each match by what body makes of it."""
+    p = compiled(pattern, ignore_case)
+    return lambda t: p.sub(body, t)
 
 
-def chain(steps: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:
-    def run(c: Column) -> Column:
+def chain(steps: Iterable[Step]) -> Step:
+    steps = tuple(steps)
+    if len(steps) == 1:
+        return steps[0]
+
+    def run(t: str) -> str:
         for s in steps:
-            c = s(c)
-        return c
+            t = s(t)
+        return t
 
     return run
 
 
-def fixpoint(step: Callable[[Column], Column], rounds: int = 100) -> Callable[[Column], Column]:
-    """step until nothing changes, at most `rounds` times; a value that has settled isn't matched again."""
+def fixpoint(step: Step, rounds: int = 100, on_limit: Callable[[], None] | None = None) -> Step:
+    """step until nothing changes, at most `rounds` times; on_limit is called where the last round still changed something."""
 
-    def run(c: Column) -> Column:
-        start = F.struct(c.alias("t"), F.lit(True).alias("moving"))
-        turn = lambda a, _: F.when(a["moving"], let(step(a["t"]), lambda n: F.struct(n.alias("t"), (n != a["t"]).alias("moving")))).otherwise(a)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda a: a["t"])
+    def run(t: str) -> str:
+        for _ in range(rounds):
+            new = step(t)
+            if new == t:
+                return t
+            t = new
+        if on_limit:
+            on_limit()
+        return t
 
     return run
 
 
-def match_map(pattern: str, body: Callable[[Column, Column, Column], Column], ignore_case: bool = True, translate: bool = True) -> Callable[[Column], Column]:
-    """Each match is replaced by body(match, text since the match before, text up to the end of the next match)."""
-    p = java(pattern, ignore_case) if translate else pattern
-
-    def run(c: Column) -> Column:
-        def bound(s: Column) -> Column:
-            parts, hits = s["parts"], s["hits"]
-            piece = lambda h, i: F.concat(F.get(parts, i), body(h, F.get(parts, i), F.concat(F.get(parts, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")))))
-            return F.concat(F.array_join(F.transform(hits, piece), ""), F.element_at(parts, -1))
+def guarded(steps: Iterable[tuple[tuple[frozenset[str], ...], Step]]) -> Step:
+    """Each step in order, where the text holds a character of each of the sets that the step needs."""
+    steps = tuple(steps)
 
-        def whole(x: Column) -> Column:
-            return F.when(x.rlike(p), let(F.struct(F.split(x, p, -1).alias("parts"), F.regexp_extract_all(x, F.lit(p), F.lit(0)).alias("hits")), bound)).otherwise(x)
-
-        return let(c, whole)
+    def run(t: str) -> str:
+        there = set(t)
+        for needs, step in steps:
+            for need in needs:
+                if there.isdisjoint(need):
+                    break
+            else:
+                new = step(t)
+                if new != t:
+                    t, there = new, set(new)
+        return t
 
     return run
-
-
-def groups(hit: Column, pattern: str, ignore_case: bool = True) -> Callable[[int], Column]:
-    """The groups of a match that match_map found by the same pattern (without what looks around it)."""
-    p = java(pattern, ignore_case)
-    return lambda n: F.regexp_extract(hit, p, n)

@@ -1,49 +1,39 @@
-"""The four characters that internal marks are made of: swapped for unused private-use characters in texts that hold them, and what groups of the user's own may return of them."""
+"""The four characters that marks are made of: swapped for unused private-use characters in texts that hold them, and what groups of the user's own may return of them."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 RESERVED = "\ue000\ue001\ue100\ue101"
-_HINT = f"[{RESERVED}]"
-_SUBSTITUTES = "".join(chr(c) for c in range(0xE000, 0xF900) if chr(c) not in RESERVED)
-_TOKEN = re.compile(r"\ue000[A-Za-z]+\d+\ue001|\ue100(?:POP|PCL|BR)\ue101|(?:http://)?glyphmill-xyz/A0SAFE\d+ID|A1SAFE\d+ID@glyphmill\.xyz|A[uv]SAFE\d+TK|[\ue000\ue001\ue100\ue101]")
-
-
-def _translate(c: Column, old: Column, new: Column) -> Column:
-    return F.call_function("translate", c, old, new)
-
-
-def pairs(c: Column) -> Column:
-    """struct<old, new> for a text with reserved characters, null for others: those it holds and as many of the lowest private-use characters it doesn't hold, fewer if too few are left."""
-    own = F.regexp_replace(c, r"[^\x{E000}-\x{F8FF}]", "")
-    old = _translate(F.lit(RESERVED), _translate(F.lit(RESERVED), own, F.lit("")), F.lit(""))
-    new = _translate(F.lit(_SUBSTITUTES), own, F.lit("")).substr(F.lit(1), F.length(old))
-    return F.when(c.rlike(_HINT), F.struct(old.alias("old"), new.alias("new")))
-
-
-def exhausted(c: Column) -> Column:
-    """Whether a text holds reserved characters and too few private-use characters are left for them."""
-    p = pairs(c)
-    return F.coalesce(F.length(p["new"]) < F.length(p["old"]), F.lit(False))
+_HELD = re.compile(f"[{RESERVED}]")
+_TOKEN = re.compile(r"\ue000[A-Za-z]+\d+\ue001|\ue100(?:POP|PCL|BR)\ue101|(?:http://)?glyphmill-xyz/A0SAFEq+\d+ID|A1SAFEq+\d+ID@glyphmill\.xyz|A[uv]SAFEq+\d+TK|[\ue000\ue001\ue100\ue101]")
+EXHAUSTED = "too many distinct private-use characters to escape the reserved ones"
 
 
-EXHAUSTED = "too many distinct private-use characters to escape the reserved ones"
+class Exhausted(ValueError):
+    pass
 
 
-def swap(c: Column, p: Column, back: bool = False) -> Column:
-    old, new = (p["new"], p["old"]) if back else (p["old"], p["new"])
-    return F.when(p.isNull(), c).otherwise(_translate(c, old, new))
+def escaped(text: str) -> tuple[str, dict[int, int] | None]:
+    """The text with its reserved characters as the lowest private-use characters that it doesn't hold, and how to turn them back."""
+    if not _HELD.search(text):
+        return text, None
+    there = set(text)
+    free = (c for c in range(0xE000, 0xF900) if chr(c) not in there and chr(c) not in RESERVED)
+    swap = {}
+    for c in RESERVED:
+        if c in there:
+            try:
+                swap[ord(c)] = next(free)
+            except StopIteration:
+                raise Exhausted(EXHAUSTED) from None
+    return text.translate(swap), {new: old for old, new in swap.items()}
 
 
-def scrubbed(before: str | None, after: str | None) -> str | None:
+def scrubbed(before: str, after: str) -> str:
     """after without the marks it has beyond those of before, each counted as it is spelled, and without reserved characters outside marks."""
-    if before is None or after is None or before == after:
+    if before == after:
         return after
     left = Counter(m for m in _TOKEN.findall(before) if len(m) > 1)
 
@@ -52,12 +42,3 @@ def scrubbed(before: str | None, after: str | None) -> str | None:
         return m[0] if left[m[0]] >= 0 else ""
 
     return _TOKEN.sub(kept, after)
-
-
-def scrub_udf(many: bool):
-    body = (lambda b, a: None if a is None else [scrubbed(*x) for x in zip(b, a)]) if many else scrubbed
-
-    def run(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([body(b, a) for b, a in zip(before, after)], dtype=object)
-
-    return F.pandas_udf(run, "array<string>" if many else "string").asNondeterministic()

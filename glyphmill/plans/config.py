@@ -58,6 +58,7 @@ class Config:
     fields: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     max_input_length: int = DEFAULT_LENGTH
+    max_processing_ms: int = 0
     presets: bool | dict = True
     rules: dict = field(default_factory=dict)
     render: dict = field(default_factory=dict)
@@ -71,6 +72,8 @@ class Config:
             issues.append(f"template {self.template!r} is none of {', '.join(TEMPLATES)}")
         if not isinstance(self.max_input_length, int) or not 1 <= self.max_input_length <= MOST_LENGTH:
             issues.append(f"max_input_length must be from 1 to {MOST_LENGTH}")
+        if not isinstance(self.max_processing_ms, int) or self.max_processing_ms < 0:
+            issues.append("max_processing_ms must be 0 or more")
         for k, v in self.rules.items():
             if k in ("quote.nested", "quote.inch") and truth(v) is not None:
                 continue

@@ -1,149 +1,86 @@
-"""Structured documents: scan, select, typeset values in their row, put them back. Nothing leaves the row, so there is no shuffle."""
+"""Structured documents: scan, select, typeset the selected values, put them back. A document is one row, and nothing leaves it."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+import re
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..operators import reserved
+from ..functions.rx import SPACES
 from . import scan
 
-SPAN = "struct<start:int,end:int,is_key:boolean,eligible:boolean,delim:string,path:array<string>,raw:string>"
-
-
-def scan_udf(fmt: str):
-    """Texts to struct<error, spans>."""
-
-    def one(text):
-        if text is None:
-            return {"error": None, "spans": None}
-        try:
-            found = scan.SCANNERS[fmt](text)
-        except scan.ScanError as e:
-            return {"error": str(e), "spans": None}
-        except (IndexError, ValueError, KeyError) as e:
-            return {"error": f"malformed {fmt}: {e}", "spans": None}
-        return {"error": None, "spans": [{"start": s, "end": e, "is_key": k, "eligible": ok, "delim": d, "path": [str(x) for x in p], "raw": text[s:e]} for s, e, k, ok, d, p in found]}
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["error", "spans"])
-
-    return F.pandas_udf(run, f"error string, spans array<{SPAN}>").asNondeterministic()
-
-
-def selects(selector: str, path: Column) -> Column:
-    """A JSON pointer matches the whole path, a dotted selector the whole dotted path, a bare one the last piece; a star is any one segment."""
-    if selector.startswith("/"):
-        want = [p.replace("~1", "/").replace("~0", "~") for p in selector[1:].split("/")]
-        have = path
-    else:
-        want, have = selector.split("."), F.split(F.array_join(path, "."), r"\.")
-        if len(want) == 1:
-            return F.lit(True) if selector == "*" else F.element_at(have, -1) == selector
-    test = F.size(have) == len(want)
-    for k, w in enumerate(want):
-        if w != "*":
-            test = test & (F.get(have, F.lit(k)) == w)
-    return test
-
-
-def chosen(spans: Column, fields: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
-    """Values that are eligible, that a field selector matches if there are any, and that no exclusion matches."""
-
-    def keep(s: Column) -> Column:
-        ok = ~s["is_key"] & s["eligible"]
-        for group, wanted in ((fields, True), (exclude, False)):
-            if group:
-                hit = F.lit(False)
-                for x in group:
-                    hit = hit | selects(x, s["path"])
-                ok = ok & (hit if wanted else ~hit)
-        return ok
-
-    return F.filter(spans, keep)
-
-
-def _values_udf(fmt: str):
-    """Contents of spans decoded, without white space at their edges."""
-    import json
-
-    def run(spans: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None:
-                return None
-            return [(json.loads(f'"{x["raw"]}"', strict=False) if fmt == "json" else x["raw"]).strip() for x in s]
-
-        return spans.map(one)
-
-    return F.pandas_udf(run, "array<string>").asNondeterministic()
-
-
-def _splice_udf(fmt: str):
-    import json
-
-    def run(texts: pd.Series, spans: pd.Series, values: pd.Series, typed: pd.Series, _again: pd.Series) -> pd.Series:
-        def one(text, ss, old, new):
-            if text is None or ss is None:
-                return None
-            parts = []
-            for s, o, n in zip(ss, old, new):
-                if o == n or n is None:
-                    parts.append(s["raw"])
-                    continue
-                whole = json.loads(f'"{s["raw"]}"', strict=False) if fmt == "json" else s["raw"]
-                head, tail = whole[: len(whole) - len(whole.lstrip())], whole[len(whole.rstrip()) :]
-                parts.append(scan.rewrapped(fmt, s["raw"], head + n + tail, s["delim"]))
-            return scan.splice(text, [(s["start"], s["end"]) for s in ss], parts)
-
-        return pd.Series([one(*r) for r in zip(texts, spans, values, typed)], dtype=object)
-
-    return F.pandas_udf(run, "string").asNondeterministic()
-
-
-def typeset_values(engine, df: DataFrame, col: str) -> DataFrame:
-    cfg = engine.config
-    df = df.withColumn("_g_scan", scan_udf(cfg.format)(F.col(col)))
-    df = df.withColumn("_g_error", F.coalesce("_g_error", F.col("_g_scan.error"))).withColumn("_g_spans", chosen(F.col("_g_scan.spans"), cfg.fields, cfg.exclude)).drop("_g_scan")
-    df = df.withColumn("_g_old", _values_udf(cfg.format)(F.col("_g_spans")))
-    df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(F.exists("_g_old", reserved.exhausted), F.lit(reserved.EXHAUSTED))))
-    df = df.withColumn("_g_spans", F.when(F.col("_g_error").isNull(), F.col("_g_spans"))).withColumn("_g_new", F.when(F.col("_g_error").isNull(), F.col("_g_old")))
-    df = engine._fragment(df, "_g_new", "value")
-    # a column named twice is computed before the call and not inside its arguments
-    return df.withColumn(col, _splice_udf(cfg.format)(F.col(col), F.col("_g_spans"), F.col("_g_old"), F.col("_g_new"), F.col("_g_new"))).drop("_g_spans", "_g_old", "_g_new")
-
-
-_OPEN = r"(?s)\A(---|\+\+\+)[ \t]*\r?\n"
-_WHOLE = r"(?s)\A(---|\+\+\+)[ \t]*\r?\n((?:.*?\n)??)(\1[ \t]*(?:\r?\n|\z))(.*)\z"
-
-
-def split_frontmatter(c: Column) -> Column:
-    """struct<kind, head, header, close, body>: kind "---" (YAML), "+++" (TOML) or "" (no header)."""
-    part = lambda n: F.regexp_extract(c, _WHOLE, n)
-    has = c.rlike(_WHOLE)
-    return F.struct(part(1).alias("kind"), F.when(has, F.regexp_extract(c, _OPEN, 0)).otherwise("").alias("head"), part(2).alias("header"), part(3).alias("close"), F.when(has, part(4)).otherwise(c).alias("body"))
-
-
-def typeset_frontmatter(engine, df: DataFrame, col: str) -> DataFrame:
-    """The header goes by its own format, the body is Markdown; an opening delimiter without a closing one is an error."""
-    from ..plans.engine import Typesetter
-
-    bad = F.col(col).rlike(_OPEN) & ~F.col(col).rlike(_WHOLE)
-    df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(bad, F.lit("front matter is not closed")))).withColumn("_f", split_frontmatter(F.when(~bad, F.col(col))))
-    for fmt, kind in (("yaml", "---"), ("toml", "+++")):
-        df = df.withColumn(f"_f_{fmt}", F.when(F.col("_f.kind") == kind, F.col("_f.header")))
-        df = typeset_values(Typesetter(replace(engine.config, format=fmt)), df, f"_f_{fmt}")
-    df = df.withColumn("_f_body", F.col("_f.body"))
-    df = df.withColumn("_g_error", F.coalesce("_g_error", F.when(reserved.exhausted(F.col("_f_body")), F.lit(reserved.EXHAUSTED))))
-    df = Typesetter(replace(engine.config, format="markdown"))._fragment(df, "_f_body", "markdown")
-    whole = F.concat("_f.head", F.coalesce("_f_yaml", "_f_toml", F.lit("")), "_f.close", "_f_body")
-    return df.withColumn(col, F.when(F.col("_g_error").isNull(), whole)).drop("_f", "_f_yaml", "_f_toml", "_f_body")
-
-
-def xml_error(c: Column) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else scan.validate_xml(t))
 
-    return F.pandas_udf(run, "string").asNondeterministic()(c)
+class Selectors:
+    """What `fields` and `exclude` select, looked up by the last segment of a path; only selectors that end in a star are tried one by one.
+
+    A JSON pointer matches the whole path, a dotted selector the whole dotted path, a bare one the last piece of the dotted path; a star is any one segment.
+    """
+
+    def __init__(self, selectors: tuple[str, ...]):
+        self.bare: set[str] = set()
+        self.any = False
+        self.by_tail: dict[tuple[bool, str], list[list[str]]] = {}
+        for s in selectors:
+            if s.startswith("/"):
+                self._add(True, [p.replace("~1", "/").replace("~0", "~") for p in s[1:].split("/")])
+            elif "." in s:
+                self._add(False, s.split("."))
+            elif s == "*":
+                self.any = True
+            else:
+                self.bare.add(s)
+
+    def _add(self, pointer: bool, want: list[str]) -> None:
+        self.by_tail.setdefault((pointer, want[-1]), []).append(want)
+
+    def match(self, path: list[str]) -> bool:
+        if self.any:
+            return True
+        dotted = ".".join(path).split(".")
+        if dotted[-1] in self.bare:
+            return True
+        for pointer, have in ((True, path), (False, dotted)):
+            if not have:
+                continue
+            for tail in {have[-1], "*"}:
+                for want in self.by_tail.get((pointer, tail), ()):
+                    if len(want) == len(have) and all(w in ("*", h) for w, h in zip(want, have)):
+                        return True
+        return False
+
+
+def typeset_document(text: str, fmt: str, fields: Selectors | None, exclude: Selectors | None, value: Callable[[str], str]) -> str:
+    """A value is chosen if it is eligible, a field matches it where there are fields, and no exclusion does; one without an address is excluded by any exclusion and selected by no field."""
+    out, at, done = [], 0, {}
+    for start, end, is_key, eligible, delim, path in scan.SCANNERS[fmt](text):
+        if is_key or not eligible:
+            continue
+        if fields and (path is None or not fields.match(path)) or exclude and (path is None or exclude.match(path)):
+            continue
+        raw = text[start:end]
+        if (raw, delim) not in done:
+            whole = json.loads(f'"{raw}"', strict=False) if fmt == "json" else raw
+            core = whole.strip(SPACES)
+            new = value(core) if core else core
+            head = len(whole) - len(whole.lstrip(SPACES)) if core else 0
+            done[(raw, delim)] = raw if new == core else scan.rewrapped(fmt, raw, whole[:head] + new + whole[head + len(core) :], delim)
+        out += [text[at:start], done[(raw, delim)]]
+        at = end
+    return "".join(out) + text[at:]
+
+
+_LINE = re.compile(r"([^\r\n]*)(\r\n?|\n|\Z)")
+
+
+def split_frontmatter(text: str) -> tuple[str, str, str, str, str] | None:
+    """(delimiter, opening line, header, closing line, body), or None without a header; an opening line without a closing one is an error. A YAML header may end with "..."."""
+    head = _LINE.match(text, 1 if text.startswith("\ufeff") else 0)
+    if head[1] not in ("---", "+++"):
+        return None
+    ends, at = ("+++",) if head[1] == "+++" else ("---", "..."), head.end()
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if line[1] in ends:
+            return head[1], text[: head.end()], text[head.end() : at], line[0], text[line.end() :]
+        at = line.end()
+    raise scan.ScanError("front matter is not closed")

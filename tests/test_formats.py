@@ -53,7 +53,7 @@ def test_markdown_code_is_untouched(spark):
 
 
 def test_frontmatter(spark):
-    assert run(spark, "---\nt: а - к\n---\n\nв - г", "frontmatter") == f"---\nt: а{NB}— к\n---\n\nв{NB}— г"
+    assert run(spark, "---\nt: а - к\n---\n\nв - г", "frontmatter") == f"---\nt: а{NB}— к\n---\nв{NB}— г"
     assert run(spark, "+++\nt = \"а - к\"\n+++\nв - г", "frontmatter") == f"+++\nt = \"а{NB}— к\"\n+++\nв{NB}— г"
     none, status = run(spark, "---\nt: а\n", "frontmatter", status=True)
     assert none is None and status is not None

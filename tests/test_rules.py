@@ -83,9 +83,7 @@ def test_config_errors_come_together():
 
 
 def test_own_group_and_positions(spark):
-    from pyspark.sql import functions as F
-
-    shout = RuleGroup("shout", (lambda c: F.upper(c),), "before:dash")
+    shout = RuleGroup("shout", (lambda t: t.upper(),), "before:dash")
     rows = spark.createDataFrame([("а - б",)], "text string")
     assert Typesetter(Config(), groups=(shout,)).transform(rows).first().typeset == f"А{NB}— Б"
     with pytest.raises(ValueError):
