@@ -6,8 +6,8 @@ the suffixes scanned between the two that produced them. The order of the S* the
 one name, and sorts the string of names by the same procedure, each name written as one or two digits so that every level has a small alphabet. Common prefixes of
 names become a first bound for those of the S*, which reading on in the text completes.
 
-Text, types, seeds and queues are arrays of a Scratch: in memory up to its limit and in files beyond it, which are read and written by blocks. Memory is a few blocks, the queues' limit
-and one bucket group; strings of at most SMALL names are sorted by doubling in memory.
+Text, types, seeds and queues are arrays of a Scratch: in memory up to its limit and in files beyond it, which are read and written by blocks. Memory is a few blocks, the queues' limit,
+one bucket group and what sorts the last string of names: one of at most SMALL names fits in memory and is sorted there by doubling, as external sorters end their recursion.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 
 BLOCK = 1 << 16
 #: Names that one digit holds; names of a string that is sorted in memory.
-DIGIT, SMALL = 1500, 300_000
+DIGIT, SMALL = 1500, 3_000_000
 
 
 class Scratch:
@@ -333,20 +333,49 @@ def _extended(t: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, ca
     return np.minimum(out, cap).astype(np.int16)
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a short string of names, as far as `depth` of them tell them apart."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if width >= depth or rank.max() == n - 1:
-            return order
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1 if width < n else nxt[: n - width]
-        key = rank * (n + 1) + nxt
+def _doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of a string of names that fits in memory, as far as `depth` names tell them apart, and how many each shares with the one before it, as far as found.
+
+    A rank is the number of smaller suffixes; only those that share theirs are sorted again, by the rank half a width on. The ranks of all widths are kept, and give the shared names.
+    """
+    n = len(names)
+    count = np.bincount(names)
+    rank = (np.cumsum(count) - count)[names].astype(np.int32)
+    left = np.flatnonzero(count[names] > 1)
+    width, ranks = 1, [rank]
+    while len(left) and width < depth:
+        nxt = np.full(len(left), -1, np.int64)
+        ahead = left + width
+        inside = ahead < n
+        nxt[inside] = rank[ahead[inside]]
+        key = rank[left].astype(np.int64) * (n + 1) + nxt + 1
         order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+        left, key = left[order], key[order]
+        old = rank[left]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(left))
+        first = np.maximum.accumulate(np.where(group, at, 0))
+        head = np.maximum.accumulate(np.where(fresh, at, 0))
+        rank = rank.copy()
+        rank[left] = old + (head - first)
+        alone = fresh & np.append(fresh[1:], True)
+        left = left[~alone]
+        ranks.append(rank)
         width *= 2
+    order = np.argsort(rank, kind="stable")
+    shared = np.zeros(n, np.int64)
+    if n > 1:
+        a, b = order[:-1], order[1:]
+        off = np.zeros(n - 1, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = a + off, b + off
+            ok = (x < n) & (y < n)
+            same = np.zeros(n - 1, bool)
+            same[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
+            off[same] += 1 << k
+        shared[1:] = off
+    return order, shared
 
 
 def _seeds_in_order(t, up, seeds, size: int, cap: int, scratch: Scratch, carries: bool = True):
@@ -402,7 +431,7 @@ def _seeds_in_order(t, up, seeds, size: int, cap: int, scratch: Scratch, carries
     else:
         depth = cap // 2 + 2  # a piece goes on by two characters at least
         if m <= SMALL or _digits(count) * m > 0.85 * len(t):  # a string that wouldn't shrink is sorted in memory as well
-            at_, shared = _doubled(np.asarray(names), depth), np.zeros(m, np.int64)
+            at_, shared = _doubled(np.asarray(names), depth)
         else:
             at_, shared = _names_in_order(names, count, depth, scratch)
         rank_order = scratch.empty(m, place)

@@ -4,9 +4,9 @@ Runs. Every window of PASSAGE bytes has a minimiser, the least hash of its GRAM-
 unit: rows of (minimiser, digest of the run's context, document, start). A context is the run and what its last window of WINDOW bytes reaches. Minimisers that occur once drop out, and runs
 whose contexts are identical are one class that is covered whole.
 
-Anchors. A window of PASSAGE bytes around a minimiser holds SIDE more bytes on its left or on its right, so equal windows share one of two longer strings, the anchors of their contexts. Contexts
-are dealt by anchor, each side apart, and an anchor that one context alone has is left out before anything is sorted. This parts a frequent minimiser by its surroundings; only contexts
-with 32 + SIDE equal bytes still meet.
+Anchors. Contexts are dealt to shards by minimiser. A window of PASSAGE bytes around a minimiser holds SIDE more bytes on its left or on its right, so equal windows share one of two longer
+strings, the anchors of their contexts. Contexts of a minimiser with more than HOT of them are dealt by anchor, each side apart, and an anchor that one context alone has is left out before
+anything is sorted. This parts a frequent minimiser by its surroundings; only contexts with GRAM + SIDE equal bytes still meet.
 
 Sorting. A shard streams its contexts, ordered by anchor, into a text that is suffix-sorted by induced.suffixes, in files beyond its limits; neighbours among the run starts in that order with
 WINDOW or PASSAGE bytes in common mark both as repeated. Classes hand their spans back to all their runs, and a document's spans are merged and cut out. Strings are judged on the input, and
@@ -29,8 +29,8 @@ from .shared import discard, written
 WINDOW, PASSAGE, PASSAGE_WORDS = 400, 256, 50
 GRAM = 32
 SIDE = (PASSAGE - GRAM) // 2
-#: Bytes of a shard, about.
-SHARD = 6_000_000
+#: Bytes of a shard, about; contexts from which on a minimiser is parted by anchors.
+SHARD, HOT = 6_000_000, 1000
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -108,7 +108,7 @@ def runs_of(docs: DataFrame) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame) -> DataFrame:
-    """docs: (text, picks: array of hash, digest, start, starts, size, at). A row for each side on which a pick has an anchor: side, anchor, and the context."""
+    """docs: (text, picks: array of hash, digest, start, starts, size, at, hot). Each pick's context under its minimiser (side 2), or if that is hot once for each side on which it has an anchor."""
     import pyarrow as pa
 
     names, types = ["side", "anchor", "hash", "digest", "starts", "bytes"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -125,13 +125,13 @@ def contexts_of(docs: DataFrame) -> DataFrame:
                 for p in picks:
                     body = raw[p["start"] : p["start"] + p["size"]]
                     g = p["at"]
-                    sides = []
-                    if g >= SIDE:
+                    sides = [] if p["hot"] else [(2, None)]
+                    if p["hot"] and g >= SIDE:
                         sides.append((0, body[g - SIDE : g + GRAM]))
-                    if g + GRAM + SIDE <= len(body):
+                    if p["hot"] and g + GRAM + SIDE <= len(body):
                         sides.append((1, body[g : g + GRAM + SIDE]))
                     for side, anchor in sides:
-                        for c, v in zip(cols, (side, signed(xxh3_64_intdigest(anchor)), p["hash"], p["digest"], p["starts"], body)):
+                        for c, v in zip(cols, (side, p["hash"] if anchor is None else signed(xxh3_64_intdigest(anchor)), p["hash"], p["digest"], p["starts"], body)):
                             c.append(v)
                         held += len(body)
                     if held > 16 << 20:
@@ -305,15 +305,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = written(runs_of(docs))
     row = F.struct("doc_id", "start", "starts", "size", "at")
     classes = written(runs.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("row")))
-    shared = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select(F.greatest("hash", F.lit(-(1 << 63))).alias("hash"))
-    picks = written(classes.join(shared, "hash").select("hash", "digest", "row.*"))
+    shared = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select(F.greatest("hash", F.lit(-(1 << 63))).alias("hash"), (F.col("d") > HOT).alias("hot"))
+    picks = written(classes.join(shared, "hash").select("hash", "digest", "row.*", "hot"))
     total = picks.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    per_doc = picks.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest", "start", "starts", "size", "at")).alias("picks"))
+    per_doc = picks.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest", "start", "starts", "size", "at", "hot")).alias("picks"))
     contexts = contexts_of(docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")))
     shards = max(1, int(total) // SHARD)
     # a shard has anchors of one side only, so that no context meets itself
-    numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 2 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "bytes")
-    found = written(numbered.repartition(2 * shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, f"hash long, digest binary, spans {_SPANS}"))
+    numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 3 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "bytes")
+    found = written(numbered.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, f"hash long, digest binary, spans {_SPANS}"))
     discard(picks)
     whole = classes.where("c > 1").select(
         "hash", "digest",

@@ -329,8 +329,9 @@ def test_substring_dedup(spark, empty, monkeypatch):
     texts += [prose(rng.randint(0, 600)) + hot + prose(rng.randint(0, 600)) for _ in range(60)]  # one short passage with other surroundings each time
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = dict(enumerate(removed([(t or "").encode() for t in texts])))
-    for shard in (substring_dedup.SHARD, 5_000):
+    for shard, hot in ((substring_dedup.SHARD, substring_dedup.HOT), (5_000, 5), (5_000, 0)):
         monkeypatch.setattr(substring_dedup, "SHARD", shard)
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.remove_repeats(frame).collect()}
         assert got == want
     assert substring_dedup.remove_repeats(empty).count() == 0
