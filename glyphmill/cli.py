@@ -21,8 +21,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", dest="format", help="text, html, markdown, json, xml, yaml, toml or frontmatter")
     p.add_argument("--hanging", choices=("style", "class", "both"))
     p.add_argument("--max-input", type=int)
+    p.add_argument("--max-ms", type=int, help="time budget of a document in milliseconds; 0 for none")
     p.add_argument("--rule", action="append", default=[], metavar="NAME=on|off")
     p.add_argument("--render", action="append", default=[], metavar="NAME=VALUE")
+    p.add_argument("--set", action="append", default=[], metavar="PATH=JSON", help="any setting by its dotted path, such as rules.dash.em=false or fields=[\"title\"]")
     p.add_argument("--config", help=f"configuration file; else the nearest {CONFIG_NAME} upwards")
     p.add_argument("-w", "--write", action="store_true", help="rewrite the files in place")
     p.add_argument("-o", "--output", help="write to this file")
@@ -40,30 +42,52 @@ def nearest(folder: str) -> str | None:
         folder = up
 
 
-def settings(args: argparse.Namespace):
-    """The configuration: flags over the file."""
-    from dataclasses import replace
+def merged(base: dict, over: dict) -> dict:
+    """over on base, level by level; keys that other runtimes treat as prototypes are refused."""
+    from .plans.config import ConfigError
+
+    out = dict(base)
+    for k, v in over.items():
+        if k in ("__proto__", "constructor", "prototype"):
+            raise ConfigError([f"key {k!r} is not allowed"])
+        out.pop(k, None) if isinstance(v, dict) and not isinstance(out.get(k), dict) else None
+        out[k] = merged(out.get(k, {}), v) if isinstance(v, dict) else v
+    return out
 
+
+def settings(args: argparse.Namespace):
+    """The configuration: flags over the file, merged level by level. Flags come last, so their rules are applied last."""
     from .plans.config import Config, ConfigError
 
     path = args.config or nearest(os.getcwd())
-    base = Config()
+    found: dict = {}
     if path:
         with open(path, encoding="utf-8") as f:
-            base = Config.from_json(f.read())
-    pairs = {}
+            found = json.load(f)
+        if not isinstance(found, dict):
+            raise ConfigError([f"{path} holds no object"])
+    over: dict = {}
     for name, values in (("rules", args.rule), ("render", args.render)):
-        found = dict(getattr(base, name))
         for v in values:
             k, sep, x = v.partition("=")
             if not sep:
                 raise ConfigError([f"{v!r} has no value"])
-            found[k] = x
-        pairs[name] = found
+            over.setdefault(name, {})[k] = x
+    for v in args.set:
+        path_, sep, x = v.partition("=")
+        if not sep:
+            raise ConfigError([f"{v!r} has no value"])
+        try:
+            x = json.loads(x)
+        except ValueError:
+            pass  # a bare word
+        head, _, rest = path_.partition(".")
+        over = merged(over, {head: {rest: x}} if rest else {head: x})
     if args.hanging:
-        pairs["render"]["hanging"] = args.hanging
-    flags = {k: v for k, v in (("html", args.html), ("entities", args.entities), ("format", args.format), ("max_input_length", args.max_input)) if v is not None}
-    return replace(base, **flags, **pairs)
+        over.setdefault("render", {})["hanging"] = args.hanging
+    flags = {"html": args.html, "entities": args.entities, "format": args.format, "max_input_length": args.max_input, "max_processing_ms": args.max_ms}
+    over |= {k: v for k, v in flags.items() if v is not None}
+    return Config.from_json(json.dumps(merged(found, over), ensure_ascii=False))
 
 
 def read(name: str, cap: int) -> str:

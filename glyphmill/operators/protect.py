@@ -355,14 +355,15 @@ def templates(text: str, dialect: str) -> list[Span]:
     pairs = TEMPLATES[dialect]
     opener = re.compile("|".join(re.escape(a) for a, _ in pairs))
     closers = {a: re.compile(rf"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|({re.escape(b)})") for a, b in pairs}
-    out, at, dead = [], 0, {}
+    ends, ahead = dict(pairs), {}
+    out, at = [], 0
     while m := opener.search(text, at):
+        limit = min(len(text), m.end() + TEMPLATE_BOUND)
+        if m[0] not in ahead or -1 < ahead[m[0]] < m.end():  # the next closer of any kind, looked for once a stretch
+            ahead[m[0]] = text.find(ends[m[0]], m.end())
         end = -1
-        if dead.get(m[0], -1) < m.start():
-            limit = min(len(text), m.end() + TEMPLATE_BOUND)
+        if -1 < ahead[m[0]] < limit:
             end = next((c.end() for c in closers[m[0]].finditer(text, m.end(), limit) if c[1]), -1)
-            if end < 0 and limit == len(text):
-                dead[m[0]] = limit  # no later one is closed either
         if end < 0:
             at = m.end()
         else:

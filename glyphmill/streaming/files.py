@@ -18,8 +18,9 @@ def typeset_stream(spark: SparkSession, path: str, schema, config: Config, col:
 
 
 def typeset_stream_once(spark: SparkSession, path: str, config: Config) -> DataFrame:
-    """All files there are now, through the stream, and what the sink then holds. Sink and checkpoint are in the shared folder of spark.checkpoint.dir."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/glyphmill').rstrip('/')}/{uuid.uuid4().hex}"
+    """All files there are now, through the stream, and what the sink then holds. Sink and checkpoint are in the shared folder of spark.checkpoint.dir, or else below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    base = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     sentence = lambda d: d.select("event_id", F.concat(F.lit("событие 5-6 "), "event_type").alias("text"))
     rows = typeset_stream(spark, path, spark.read.parquet(path).schema, config, prepare=sentence).select("event_id", "typeset")
     query = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

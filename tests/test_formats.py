@@ -95,8 +95,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.id: r.typeset for r in Typesetter(config).transform(batch).collect()} == {1: "5–6", 2: None}
 
 
-def test_entry_without_llm():
-    import __spark_entry__
-
-    names = __spark_entry__.queries()
-    assert set(__spark_entry__.oracle_sql()) <= set(names) and "typeset_documents" in names
+def test_entry_without_llm(tmp_path):
+    """A copy without the optional subpackage imports and keeps every other query; one whose subpackage lacks a module that it needs doesn't import."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = lambda folder, names: {"llm", "__pycache__"} & set(names)
+    shutil.copytree(f"{root}/glyphmill", tmp_path / "glyphmill", ignore=skip)
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) <= q; print(len(q), 'op1_best_fit_packing' in q, 'typeset_documents' in q)"
+    done = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0 and done.stdout.split()[1:] == ["False", "True"] and int(done.stdout.split()[0]) > 140, done.stderr
+    (tmp_path / "glyphmill/llm").mkdir()
+    (tmp_path / "glyphmill/llm/__init__.py").write_text("")
+    (tmp_path / "glyphmill/llm/registry.py").write_text("import no_such_module_here\n")
+    done = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode and "no_such_module_here" in done.stderr
