@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import glyphs
+from . import evidence
 from .cases import CASES, parts
 from .config import Config
 from .engine import Typesetter
@@ -67,19 +68,34 @@ def _documents(**config):
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collapsed spaces over whole documents, whose only other changes are the newline rule and the trim."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[&<>]", "").alias("text"))
+    """Collapsed spaces over whole documents as they are; the only other changes are the newline rule, folded marks and the trim."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     engine = Typesetter(Config(max_input_length=5_000_000, rules={"*": False, "space.collapse_spaces": True}))
     return engine.transform(docs).select("doc_id", F.length("typeset").cast("long").alias("n"), F.md5("typeset").alias("digest"))
 
 
 _PLAIN_SQL = r"""
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (
-  SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '[&<>]', '', 'g'), '“„‟”‐‒', '"««»--'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10)) AS t
+  SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, '“„‟”‐‒', '"««»--'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10)) AS t
   FROM documents) x
 """
 
 
+def _letters(html: bool):
+    """All default rules over whole documents, and of the result the letters and digits alone: the rules set spaces, marks and markup, and neither lose nor move a letter."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        out = Typesetter(Config(max_input_length=5_000_000, html=html, render={"nowrap": "nobr"})).transform(docs)
+        bare = F.regexp_replace("typeset", r"</?(?:p|br|nobr)>|<a href=\"[^\"]*\">|</a>", "") if html else F.col("typeset")
+        return out.select("doc_id", F.md5(F.regexp_replace(bare, r"[^\p{L}0-9]+", "")).alias("digest"))
+
+    return run
+
+
+_LETTERS_SQL = r"SELECT doc_id, md5(regexp_replace(text, '[^\p{L}0-9]+', '', 'g')) AS digest FROM documents"
+
+
 def _entities(xml: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("«"), "n_name", F.lit("» — 5 °…")).alias("text"))
@@ -126,7 +142,7 @@ _FORMATS = {
     "toml": ("# a 5-6\n[сорт]\nname = \"груз 5-6 - {n}\"\nraw = 'груз 5-6'\nn = {n}\nlist = [\"5-6\", {n}]\n", "# a 5-6\n[сорт]\nname = \"груз 5–6 — {n}\"\nraw = 'груз 5–6'\nn = {n}\nlist = [\"5–6\", {n}]\n"),
     "xml": ('<a n="5-6"><b>груз 5-6 - {n}</b><!-- 5-6 --><c xml:space="preserve">5-6 {n}</c></a>', '<a n="5-6"><b>груз 5–6 — {n}</b><!-- 5-6 --><c xml:space="preserve">5-6 {n}</c></a>'),
     "markdown": ("# груз 5-6 - {n}\n\nа `5-6` [груз 5-6](http://a.ru/5-6)\n\n```\nкод 5-6\n```\nконец", "# груз 5–6 — {n}\n\nа `5-6` [груз 5–6](http://a.ru/5-6)\n\n```\nкод 5-6\n```\nконец"),
-    "frontmatter": ("---\ntitle: груз 5-6 - {n}\n---\n\nтекст 5-6 - {n}", "---\ntitle: груз 5–6 — {n}\n---\n\nтекст 5–6 — {n}"),
+    "frontmatter": ("---\ntitle: груз 5-6 - {n}\n---\n\nтекст 5-6 - {n}", "---\ntitle: груз 5–6 — {n}\n---\nтекст 5–6 — {n}"),
     "html": ('<p class="5-6">груз 5-6 - {n} <code>5-6</code></p>', '<p class="5-6">груз 5–6 — {n} <code>5-6</code></p>'),
 }
 
@@ -175,6 +191,8 @@ def queries() -> dict:
     found |= {"entity_encode_html": _entities(False), "entity_encode_xml": _entities(True), "entity_decode": _decode}
     found |= {"json_values": _json(), "json_fields": _json(fields=("note",)), "json_exclude": _json(exclude=("/body/*",)), "json_dotted": _json(fields=("body.list.*",))}
     found |= {f"format_{k}": _other_format(k, v[0]) for k, v in _FORMATS.items()}
+    found |= {"typeset_documents_letters": _letters(False), "typeset_documents_html_letters": _letters(True)}
+    found |= evidence.queries()
     found |= {"mask_round_trip": _round_trip, "change_ranges": _changes, "length_cap": _caps, "rule_catalogue": _rules_by_group, "template_delimiters": _template, "stream_equals_batch": _stream}
     return found
 
@@ -189,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
     found["entity_decode"] = f"SELECT n_nationkey, '«{name}»' || chr(160) || '— ' || chr(8239) || '&amp;lt;… \"«»' AS typeset FROM nation"
     found |= {"json_values": _json_sql("–", "–", "–"), "json_fields": _json_sql("-", "–", "-"), "json_exclude": _json_sql("–", "-", "–"), "json_dotted": _json_sql("-", "-", "–")}
     found |= {f"format_{k}": f"SELECT o_orderkey, {_sql(v[1])} AS typeset FROM orders" for k, v in _FORMATS.items()}
+    found |= {"typeset_documents_letters": _LETTERS_SQL, "typeset_documents_html_letters": _LETTERS_SQL} | evidence.oracle_sql()
     found["mask_round_trip"] = "SELECT page_id, true AS same FROM pages"
     found["change_ranges"] = 'SELECT o_orderkey, 6 AS start, 7 AS "end" FROM orders'
     found["length_cap"] = "SELECT doc_id, length(text) + 2 > 5000 AS refused, CASE WHEN length(text) + 2 > 5000 THEN 'INPUT' END AS code FROM documents"
