@@ -74,9 +74,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     plain = among(sample_rows).where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(PLAIN), F.lit(0)))).alias("s"))
     # long tokens with digits are what is to be judged, so they are no samples of ordinary identifiers
     plain = plain.where(~((F.length("s") >= 16) & F.col("s").rlike("[0-9]"))).withColumn("label", F.lit(0))
-    place = lambda at: F.expr(f"instr('{ALPHABET}', substr(s, {at}, 1))")
-    grams = secrets.union(plain.select("s", "label")).where("length(s) > 1").withColumn("i", F.explode(F.expr("sequence(1, length(s) - 1)")))
-    counts = grams.select("label", place("i").alias("a"), place("i + 1").alias("b")).where("a > 0 and b > 0").groupBy("label", "a", "b").count().collect()
+    # characters as an array: one step each, however long a token is
+    pairs = f"transform(array(transform(split(s, ''), c -> instr('{ALPHABET}', c))), p -> transform(sequence(1, size(p) - 1), i -> struct(p[i - 1] as a, p[i] as b)))[0]"
+    grams = secrets.union(plain.select("s", "label")).where("length(s) > 1").select("label", F.explode(F.expr(pairs)).alias("g")).select("label", "g.a", "g.b")
+    counts = grams.where("a > 0 and b > 0").groupBy("label", "a", "b").count().collect()
     n = len(ALPHABET)
     random, plain_ = [1.0] * (n * n), [0.0] * (n * n)
     for r in counts:
@@ -93,8 +94,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with base (array of start, kind, end, hit, v) and spans (the same, base and random ones together, in order)."""
     n = len(ALPHABET)
-    place = lambda at: f"(instr('{ALPHABET}', substr(x.hit, {at}, 1)) - 1)"
-    score = f"aggregate(sequence(1, length(x.hit) - 1), 0D, (a, i) -> a + element_at(_s_ratios, cast({place('i')} * {n} + {place('i + 1')} + 1 as int))) - {MARGIN}D"
+    places = f"transform(split(x.hit, ''), c -> instr('{ALPHABET}', c) - 1)"
+    score = f"transform(array({places}), p -> aggregate(sequence(1, size(p) - 1), 0D, (a, i) -> a + _s_ratios[p[i - 1] * {n} + p[i]]))[0] - {MARGIN}D"
     d = with_base(docs.drop(*[c for c in ("base", "spans") if c in docs.columns]), text_col).withColumn("_s_ratios", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
     apart = "not exists(_s_base, y -> y.start < x.end and x.start < y.end)"
     d = d.withColumn("_s_3", F.expr(_spans(TOKEN, 3, f"{apart} and {score} > {threshold}D * (length(x.hit) - 1)")))
