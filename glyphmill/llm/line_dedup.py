@@ -46,8 +46,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     # a byte for each line up to the last dropped one, 1 where it goes: reassembling by position takes one step a line
     gap = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("_ld_drops", i - 1), F.lit(-1)) - 1), F.lit("1"))
     marks = F.array_join(F.transform("_ld_drops", gap), "").cast("binary")
-    kept = F.filter(lines, lambda s, i: F.coalesce(F.substring(F.col("_ld_marks"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
-    out = joined.withColumn("_ld_marks", marks).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ld_drops"), F.lit(0)).cast("long"))
+    # the marks are bound by a one-element array, or the optimiser would work them out again for every line
+    kept = F.transform(F.array(marks), lambda m: F.filter(lines, lambda s, i: F.coalesce(F.substring(m, i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))))[0]
+    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ld_drops"), F.lit(0)).cast("long"))
     out = out.withColumn("kept_text", F.when(F.col("_ld_drops").isNull(), whole_text(text_col)).otherwise(F.array_join(kept, "\n")))
     return out.select(*[docs[c] for c in docs.columns if c != "_ld_row"], "kept_text", "n_lines", "n_dropped")
 
