@@ -94,7 +94,7 @@ def dedup_exact(spark: SparkSession, path: str, checkpoint: str | None = None, f
     hot = F.broadcast(state.where(F.col("group_size") > least).select("digest", "n_bytes", salts.alias("salts")))  # HOT_KEYS rows at most
     salted = lambda df: df.join(hot, ["digest", "n_bytes"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts", "at")
     at = F.monotonically_increasing_id().alias("at")  # copies of one row part as well
-    found = salted(_keyed(docs, at)).join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["digest", "n_bytes", "salt"])
+    found = salted(_keyed(docs, at)).join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["digest", "n_bytes", "salt"]).drop("salt")
     hits = state.where("group_size > 1")
     # full bytes: whole texts of hits are grouped by equality, once a task before they are shuffled; a digest with two texts is a false hit
     with_text = _keyed(docs, normalised().alias("norm"))
