@@ -5,8 +5,8 @@ unit: rows of (minimiser, digest of the run's context, document, start). A conte
 whose contexts are identical are one class that is covered whole.
 
 Anchors. Contexts are dealt to shards by minimiser. A window of PASSAGE bytes around a minimiser holds SIDE more bytes on its left or on its right, so equal windows share one of two longer
-strings, the anchors of their contexts. Contexts of a minimiser with more than HOT of them are dealt by anchor, each side apart, and an anchor that one context alone has is left out before
-anything is sorted. This parts a frequent minimiser by its surroundings; only contexts with GRAM + SIDE equal bytes still meet.
+strings, the anchors of their contexts: a context keeps only the starts whose anchor another one of its minimiser has. Contexts of a minimiser with more than HOT of them are dealt by anchor,
+each side apart. This parts a frequent minimiser by its surroundings; only contexts with GRAM + SIDE equal bytes still meet.
 
 Sorting. A shard streams its contexts, ordered by anchor, into a text that is suffix-sorted by induced.suffixes, in files beyond its limits; neighbours among the run starts in that order with
 WINDOW or PASSAGE bytes in common mark both as repeated. Classes hand their spans back to all their runs, and a document's spans are merged and cut out. Strings are judged on the input, and
@@ -30,7 +30,7 @@ WINDOW, PASSAGE, PASSAGE_WORDS = 400, 256, 50
 GRAM = 32
 SIDE = (PASSAGE - GRAM) // 2
 #: Bytes of a shard, about; contexts from which on a minimiser is parted by anchors.
-SHARD, HOT = 6_000_000, 1000
+SHARD, HOT = 6_000_000, 4000
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -111,7 +111,7 @@ def contexts_of(docs: DataFrame) -> DataFrame:
     """docs: (text, picks: array of hash, digest, start, starts, size, at, hot). Each pick's context under its minimiser (side 2), or if that is hot once for each side on which it has an anchor."""
     import pyarrow as pa
 
-    names, types = ["side", "anchor", "hash", "digest", "starts", "bytes"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names, types = ["side", "anchor", "hash", "digest", "starts", "at", "bytes"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -131,7 +131,7 @@ def contexts_of(docs: DataFrame) -> DataFrame:
                     if p["hot"] and g + GRAM + SIDE <= len(body):
                         sides.append((1, body[g : g + GRAM + SIDE]))
                     for side, anchor in sides:
-                        for c, v in zip(cols, (side, p["hash"] if anchor is None else signed(xxh3_64_intdigest(anchor)), p["hash"], p["digest"], p["starts"], body)):
+                        for c, v in zip(cols, (side, p["hash"] if anchor is None else signed(xxh3_64_intdigest(anchor)), p["hash"], p["digest"], p["starts"], g, body)):
                             c.append(v)
                         held += len(body)
                     if held > 16 << 20:
@@ -139,7 +139,7 @@ def contexts_of(docs: DataFrame) -> DataFrame:
                         cols, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.select("text", "picks").mapInArrow(run, "side int, anchor long, hash long, digest binary, starts int, bytes binary")
+    return docs.select("text", "picks").mapInArrow(run, "side int, anchor long, hash long, digest binary, starts int, at int, bytes binary")
 
 
 def merged(starts: np.ndarray, width: int = WINDOW) -> list[tuple[int, int]]:
@@ -238,6 +238,38 @@ def repeated_starts(parts: list[bytes], starts: list[int] | None = None, limit:
 _SPANS = "array<struct<s:int,e:int,wide:boolean>>"
 
 
+def trimmed(starts: int, at: int, body: bytes, left: bool, right: bool) -> tuple[int, int, bytes]:
+    """(bytes cut off in front, starts, context) of a context whose starts can match by the anchor on the left, on the right, or both; at: place of its minimiser."""
+    middle = at - SIDE  # the last start with SIDE bytes in front of the minimiser, and the first with SIDE behind it
+    if not left:
+        front = max(0, middle)
+        return front, starts - front, body[front:]
+    if not right:
+        starts = min(starts, middle + 1)
+        return 0, starts, body[: starts - 1 + WINDOW]
+    return 0, starts, body
+
+
+def _of_group(group: list[tuple]):
+    """A minimiser's contexts (hash, digest, starts, at, body), trimmed to the starts whose anchor stands in two of them, as (name, starts, body)."""
+    from collections import Counter
+
+    from xxhash import xxh3_64_intdigest
+
+    sides = []
+    for _, _, _, g, body in group:
+        left = xxh3_64_intdigest(body[g - SIDE : g + GRAM]) if g >= SIDE else None
+        right = xxh3_64_intdigest(body[g : g + GRAM + SIDE]) if g + GRAM + SIDE <= len(body) else None
+        sides.append((left, right))
+    counts = [Counter(x[k] for x in sides if x[k] is not None) for k in (0, 1)]
+    for (hash_, digest, starts, g, body), (left, right) in zip(group, sides):
+        two = left is not None and counts[0][left] > 1, right is not None and counts[1][right] > 1
+        if any(two):
+            front, starts, body = trimmed(starts, g, body, *two)
+            if starts > 0:
+                yield (hash_, digest, front), starts, body
+
+
 def _sort_shards(batches):
     """Rows in order of shard and anchor to (hash, digest, spans); a shard's contexts go to its file as they come."""
     import pyarrow as pa
@@ -252,26 +284,45 @@ def _sort_shards(batches):
 
     def done(shard):
         found = shard.repeated()
-        spans = [[{"s": a, "e": b, "wide": True} for a, b in merged(wide)] + [{"s": a, "e": b, "wide": False} for a, b in merged(some, PASSAGE)] for _, wide, some in found]
+        span = lambda a, b, front, wide: {"s": a + front, "e": b + front, "wide": wide}
+        spans = [[span(a, b, f[0][2], True) for a, b in merged(f[1])] + [span(a, b, f[0][2], False) for a, b in merged(f[2], PASSAGE)] for f in found]
         return pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], kinds[0]), pa.array([f[0][1] for f in found], kinds[1]), pa.array(spans, kinds[2])], ["hash", "digest", "spans"])
 
-    current, shard, first, last, scratch = None, None, None, None, None
+    current = shard = scratch = last = None
+    group: list[tuple] = []  # a minimiser's contexts, HOT at most; of an anchor's the first one, which waits for a second
+
+    def flush():
+        if shard is not None and current % 3 == 2:
+            for x in _of_group(group):
+                shard.add(*x)
+        group.clear()
+
+    def add(side, hash_, digest, starts, at, body):
+        front, starts, body = trimmed(starts, at, body, side == 0, side == 1)
+        if starts > 0:
+            shard.add((hash_, digest, front), starts, body)
+
     try:
-        for number, anchor, hash_, digest, starts, body in rows():
+        for number, anchor, *context in rows():
             if number != current:
+                flush()
                 if shard is not None and shard.names:
                     yield done(shard)
                 if scratch is not None:
                     scratch.__exit__()
                 scratch = Scratch()
-                current, shard, first, last = number, Shard(scratch), None, None
+                current, shard, last = number, Shard(scratch), None
             if anchor != last:
-                first, last = (hash_, digest, starts, body), anchor  # waits for a second one
-                continue
-            if first is not None:
-                shard.add(first[:2], first[2], first[3])
-                first = None
-            shard.add((hash_, digest), starts, body)
+                flush()
+                last = anchor
+                group.append(tuple(context))
+            elif number % 3 == 2:
+                group.append(tuple(context))
+            else:
+                if group:
+                    add(number % 3, *group.pop())
+                add(number % 3, *context)
+        flush()
         if shard is not None and shard.names:
             yield done(shard)
     finally:
@@ -312,7 +363,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     contexts = contexts_of(docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")))
     shards = max(1, int(total) // SHARD)
     # a shard has anchors of one side only, so that no context meets itself
-    numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 3 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "bytes")
+    numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 3 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "at", "bytes")
     found = written(numbered.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, f"hash long, digest binary, spans {_SPANS}"))
     discard(picks)
     whole = classes.where("c > 1").select(
