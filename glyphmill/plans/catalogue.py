@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glyphs
 from ..functions.rx import NBSP
-from . import evidence
+from . import constructs, evidence
 from .cases import CASES, parts
 from .config import Config
 from .engine import Typesetter
@@ -190,7 +190,7 @@ def queries() -> dict:
     found |= {"json_values": _json(), "json_fields": _json(fields=("note",)), "json_exclude": _json(exclude=("/body/*",)), "json_dotted": _json(fields=("body.list.*",))}
     found |= {f"format_{k}": _other_format(k, v[0]) for k, v in _FORMATS.items()}
     found |= {"typeset_documents_letters": _letters(False), "typeset_documents_html_letters": _letters(True)}
-    found |= evidence.queries()
+    found |= evidence.queries() | constructs.queries()
     found |= {"mask_round_trip": _round_trip, "change_ranges": _changes, "length_cap": _caps, "rule_catalogue": _rules_by_group, "template_delimiters": _template, "stream_equals_batch": _stream}
     return found
 
@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
     found["entity_decode"] = f"SELECT n_nationkey, '«{name}»' || chr(160) || '— ' || chr(8239) || '&amp;lt;… \"«»' AS typeset FROM nation"
     found |= {"json_values": _json_sql("–", "–", "–"), "json_fields": _json_sql("-", "–", "-"), "json_exclude": _json_sql("–", "-", "–"), "json_dotted": _json_sql("-", "-", "–")}
     found |= {f"format_{k}": f"SELECT o_orderkey, {_sql(v[1])} AS typeset FROM orders" for k, v in _FORMATS.items()}
-    found |= {"typeset_documents_letters": _LETTERS_SQL, "typeset_documents_html_letters": _LETTERS_SQL} | evidence.oracle_sql()
+    found |= {"typeset_documents_letters": _LETTERS_SQL, "typeset_documents_html_letters": _LETTERS_SQL} | evidence.oracle_sql() | constructs.oracle_sql()
     found["mask_round_trip"] = "SELECT page_id, 'x ' || url || ' y' AS typeset FROM pages"
     size = "length(CAST(o_orderkey AS VARCHAR))"
     found["change_ranges"] = " UNION ALL ".join(f'SELECT o_orderkey, CAST({size} + {k} AS INTEGER) AS start, CAST({size} + {k + 1} AS INTEGER) AS "end" FROM orders' for k in (7, 13))

@@ -45,8 +45,8 @@ def test_open_and_nested_elements_stay():
 
 def test_reserved_characters_stay():
     rules = {"*": False, "punctuation.repeat_limit": True}
-    assert run("a b c!! d??", rules=rules) == "a b c! d?"
-    for t in ("<!-- x --> H0 N0 B0 <code>y</code>", "  ", "<b>x</b> <T0>"):
+    assert run("a\ue100 b\ue101 c!! d??", rules=rules) == "a\ue100 b\ue101 c! d?"
+    for t in ("<!-- x --> \ue000H0\ue001 \ue000N0\ue001 \ue000B0\ue001 <code>y</code>", "\ue002 \ue000 \ue003", "<b>x</b> <\ue000T0\ue001>"):
         assert run(t, rules=rules) == t
     for c in range(0xE000, 0xF900, 37):
         assert run(f"а {chr(c)} - б", rules=rules) == f"а {chr(c)} - б"
@@ -64,8 +64,8 @@ def test_placeholders_of_sequences_cannot_be_forged():
 
 
 def test_own_groups_keep_what_they_were_given():
-    mark, brk = "T1", "BR"
-    assert scrubbed(f"a <{mark}>{brk}", f"{brk}<{mark}> b <{mark}>{brk}cZ9") == f"{brk}<{mark}> b <>c"
+    mark, brk = "\ue000T1\ue001", "\ue100BR\ue101"
+    assert scrubbed(f"a <{mark}>{brk}", f"{brk}<{mark}> b <{mark}>{brk}\ue100c\ue000Z9\ue001") == f"{brk}<{mark}> b <>c"
 
 
 def test_many_blocks_of_the_users_own():
