@@ -142,12 +142,18 @@ def contexts_of(docs: DataFrame) -> DataFrame:
     return docs.select("text", "picks").mapInArrow(run, "side int, anchor long, hash long, digest binary, starts int, at int, bytes binary")
 
 
-def merged(starts: np.ndarray, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal [start, end) covered by the windows at sorted starts."""
+def packed(home: np.ndarray, starts: np.ndarray, width: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal [start, end) covered by the windows at starts, which are sorted by home and place: the home of each, and start, end and kind in one number (see SHIFT)."""
     if not len(starts):
-        return []
-    cuts = np.flatnonzero(np.diff(starts) > width) + 1
-    return [(int(p[0]), int(p[-1]) + width) for p in np.split(starts, cuts)]
+        return home, starts
+    new = np.concatenate([[True], (home[1:] != home[:-1]) | (starts[1:] - starts[:-1] > width)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts)) - 1
+    return home[first], (starts[first] << 33) | ((starts[last] + width) << 1) | int(wide)
+
+
+#: A span is start * 2 ** 33 + end * 2 + kind in a long, so that spans sort by start and move by n with n * SHIFT. Kind 1: WINDOW bytes; 0: PASSAGE bytes.
+SHIFT = (1 << 33) + 2
 
 
 class Shard:
@@ -167,8 +173,8 @@ class Shard:
         self.file.write(body + b"\0")
         self.size += len(body) + 1
 
-    def repeated(self) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
-        """(name, starts with WINDOW bytes that also start elsewhere, those with PASSAGE bytes) of each context that has any."""
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the context, start in it and bytes in common with another start, of each start with PASSAGE bytes that also start elsewhere, in order."""
         from .induced import suffixes
 
         n = self.size + 1
@@ -203,39 +209,31 @@ class Shard:
             before = int(mine[-1])
             rest = common[keep[-1] + 1 :]
             low = int(rest.min()) if len(rest) else WINDOW
+        none = np.zeros(0, np.int64)
         if not hits:
-            return []
+            return none, none, none
         places, common = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        order = np.argsort(places, kind="stable")
+        places, common = places[order], common[order]
+        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        places, common = places[first], np.maximum.reduceat(common, first)
         home = np.searchsorted(begin, places, side="right") - 1
         common = np.minimum(common, ends[home] - places)  # nothing counts beyond the end of a context
-        out = []
-        order = np.lexsort((places, home))
-        home, places, common = home[order], places[order], common[order]
-        for part in np.split(np.arange(len(home)), np.flatnonzero(np.diff(home)) + 1):
-            k = int(home[part[0]])
-            rel = places[part] - begin[k]
-            wide, some = np.unique(rel[common[part] >= WINDOW]), np.unique(rel[common[part] >= PASSAGE])
-            if len(some):
-                out.append((self.names[k], wide, some))
-        return out
-
-
-def repeated_starts(parts: list[bytes], starts: list[int] | None = None, limit: int = 64 << 20, queued: int = 1 << 22) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of the contexts its starts (by default all that have room for a window) with WINDOW and with PASSAGE bytes that also start elsewhere in one of them."""
-    from .induced import Scratch
-
-    none = np.zeros(0, np.int64)
-    out = [(none, none)] * len(parts)
-    with Scratch(limit, queued) as scratch:
-        shard = Shard(scratch)
-        for k, body in enumerate(parts):
-            shard.add((k,), starts[k] if starts else max(0, len(body) - PASSAGE + 1), body)
-        for (k,), wide, some in shard.repeated():
-            out[k] = (wide, some)
-    return out
-
-
-_SPANS = "array<struct<s:int,e:int,wide:boolean>>"
+        keep = common >= PASSAGE
+        return home[keep], (places - begin[home])[keep], common[keep]
+
+    def spans(self) -> list[tuple[tuple, list[int]]]:
+        """(name, packed spans) of each context that has any."""
+        home, starts, common = self.repeated()
+        wide = common >= WINDOW
+        h1, s1 = packed(home[wide], starts[wide], WINDOW, True)
+        h0, s0 = packed(home, starts, PASSAGE, False)
+        homes, both = np.concatenate([h1, h0]), np.concatenate([s1, s0])
+        order = np.argsort(homes, kind="stable")
+        homes, both = homes[order], both[order].tolist()
+        first = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])) if len(homes) else homes
+        bounds = [*first.tolist(), len(both)]
+        return [(self.names[k], both[a:b]) for k, a, b in zip(homes[first].tolist(), bounds[:-1], bounds[1:])]
 
 
 def trimmed(starts: int, at: int, body: bytes, left: bool, right: bool) -> tuple[int, int, bytes]:
@@ -276,16 +274,15 @@ def _sort_shards(batches):
 
     from .induced import Scratch
 
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("wide", pa.bool_())]))]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def rows():
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def done(shard):
-        found = shard.repeated()
-        span = lambda a, b, front, wide: {"s": a + front, "e": b + front, "wide": wide}
-        spans = [[span(a, b, f[0][2], True) for a, b in merged(f[1])] + [span(a, b, f[0][2], False) for a, b in merged(f[2], PASSAGE)] for f in found]
+        found = shard.spans()
+        spans = [[x + front * SHIFT for x in xs] if front else xs for (_, _, front), xs in found]
         return pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], kinds[0]), pa.array([f[0][1] for f in found], kinds[1]), pa.array(spans, kinds[2])], ["hash", "digest", "spans"])
 
     current = shard = scratch = last = None
@@ -364,18 +361,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shards = max(1, int(total) // SHARD)
     # a shard has anchors of one side only, so that no context meets itself
     numbered = contexts.select((F.pmod("anchor", F.lit(shards)) * 3 + F.col("side")).alias("shard"), "anchor", "hash", "digest", "starts", "at", "bytes")
-    found = written(numbered.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, f"hash long, digest binary, spans {_SPANS}"))
+    found = written(numbered.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").mapInArrow(_sort_shards, "hash long, digest binary, spans array<long>"))
     discard(picks)
     whole = classes.where("c > 1").select(
         "hash", "digest",
         F.expr(
-            f"filter(array(named_struct('s', 0, 'e', row.starts + {PASSAGE - 1}, 'wide', false), named_struct('s', 0, 'e', least(row.starts - 1, row.size - {WINDOW}) + {WINDOW}, 'wide', true)), "
-            f"x -> not x.wide or row.size >= {WINDOW})"
+            f"if(row.size >= {WINDOW}, array((row.starts + {PASSAGE - 1}) * 2L, (least(row.starts - 1, row.size - {WINDOW}) + {WINDOW}) * 2L + 1L), array((row.starts + {PASSAGE - 1}) * 2L))"
         ).alias("spans"),
     )
     marked = found.join(whole.select("hash", "digest"), ["hash", "digest"], "left_anti").unionByName(whole)
     marked = marked.select(F.greatest("hash", F.lit(-(1 << 63))).alias("hash"), F.concat("digest", F.lit(b"")).alias("digest"), "spans")
-    hits = runs.join(marked, ["hash", "digest"]).select("doc_id", F.expr("transform(spans, x -> named_struct('s', x.s + start, 'e', x.e + start, 'wide', x.wide))").alias("spans"))
+    hits = runs.join(marked, ["hash", "digest"]).select("doc_id", F.expr(f"transform(spans, x -> x + start * {SHIFT}L)").alias("spans"))
     spans = written(hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).withColumnRenamed("doc_id", "_id"))
 
     def cut(batches):
@@ -385,8 +381,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in names]
             for doc, text, found_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = _bytes(text.as_py())
-                runs_, rest = _cut(raw, [(x["s"], x["e"]) for x in found_ or () if x["wide"]])
-                some, _ = _cut(raw, [(x["s"], x["e"]) for x in found_ or ()])
+                runs_, rest = _cut(raw, [(x >> 33, x >> 1 & 0xFFFFFFFF) for x in found_ or () if x & 1])
+                some, _ = _cut(raw, [(x >> 33, x >> 1 & 0xFFFFFFFF) for x in found_ or ()])
                 passages = sum(len(raw[s:e].split()) > PASSAGE_WORDS for s, e in some)
                 for c, v in zip(cols, (doc, len(raw), len(raw) - len(rest), len(runs_), rest, [{"s": s, "e": e} for s, e in runs_], passages)):
                     c.append(v)
