@@ -1,6 +1,8 @@
 """Five stages from raw documents to packed token sequences; each is written as Parquet and read again as the next one's docs.
 
-Every stage but the last returns the columns of documents. ORACLE_SQL is None: near-duplicate classes and fitted packing can't be stated in SQL, so
+Every stage but the last returns the columns of documents. In all of them a null or empty text has no words, no lines to drop, no shingles and one token; repeated rows are rows of their
+own until near duplicates, where one id stays or goes with all its rows; an empty table passes through; extra columns, also those named like a result, are carried along unless they
+begin with "_". ORACLE_SQL is None: near-duplicate classes and fitted packing can't be stated in SQL, so
 tests/llm holds each stage against a brute-force version.
 """
 
@@ -18,16 +20,27 @@ MIX_FRACTION = 0.9
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, results: tuple[str, ...], stage) -> DataFrame:
+    """stage over docs whose columns named like a result step aside meanwhile; the columns of docs come back as they were."""
+    moved = {c: f"_aside_{c}" for c in docs.columns if c in results}
+    out = stage(docs.withColumnsRenamed(moved))
+    return out.drop(*moved).withColumnsRenamed({v: k for k, v in moved.items()}).select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others are unchanged."""
-    return quality.apply_rules(docs).where("rejected_by is null").drop("rejected_by")
+    return _aside(docs, ("rejected_by",), lambda d: quality.apply_rules(d).where("rejected_by is null"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go from all documents but one. A document stays, however little is left of it; n_chars follows its text."""
-    out = line_dedup.dedup_lines(docs)
-    changed = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", changed).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+    def stage(d: DataFrame) -> DataFrame:
+        out = line_dedup.dedup_lines(d)
+        changed = F.col("n_dropped") > 0
+        return out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return _aside(docs, line_dedup.RESULTS, stage)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf of the tree of domain, language and source keeps a seeded prefix within its budget; one epoch, so no document repeats."""
-    return mixing.mix(docs, mixing.domain_of(F.col("source")), fraction=MIX_FRACTION, epochs=1).select(*docs.columns)
+    return _aside(docs, mixing.RESULTS, lambda d: mixing.mix(d, mixing.domain_of(F.col("source")), fraction=MIX_FRACTION, epochs=1))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
