@@ -196,7 +196,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = classes.select("node", F.posexplode(sides(0)).alias("i", "x"), sides(1).alias("ys"))
     tables = first.select("node", "i", "x", F.posexplode("ys").alias("j", "y")).select("node", F.xxhash64("i", "j", "x", "y").alias("key"))
     low = tables.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    ties = tables.join(low.select(F.greatest("key", F.lit(-(1 << 63))).alias("key"), "low"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    # Spark's estimate counts the exploded rows of a class as one, so below its broadcast threshold both sides can hold millions of rows: never broadcast
+    low = low.select(F.greatest("key", F.lit(-(1 << 63))).alias("key"), "low").hint("merge")
+    ties = tables.join(low, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     families = written(components(ties).select("node", F.col("root").alias("family")))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(families, "node")
     # an id can have several texts, and some of them may belong to a class of another id

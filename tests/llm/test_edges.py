@@ -113,6 +113,45 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame).collect()} == one and len(set(one.values())) < 300
 
 
+def broadcast_rows(spark, work):
+    """Rows of each table that was broadcast while work ran, by Spark's own counts."""
+    bus, store = spark._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    before = max((runs.apply(k).executionId() for k in range(runs.size())), default=-1)
+    work()
+    bus.waitUntilEmpty(30_000)
+    runs, out = store.executionsList(), []
+    for run in (runs.apply(k).executionId() for k in range(runs.size())):
+        if run > before:
+            nodes, counts = store.planGraph(run).allNodes(), store.executionMetrics(run)
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if node.name().startswith("BroadcastExchange") and m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                        out.append(int(counts.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """300 texts of their own and near copies of 30, under a broadcast threshold that their estimated band keys pass and the real ones exceed."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60), "en", "src0", 1) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " x", "en", "src0", 1) for i in range(30)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    yield spark.createDataFrame(rows, SCHEMA).repartition(2).cache()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pipeline_broadcasts_no_bands(spark, small_broadcasts):
+    import corpus_pipeline
+
+    kept = []
+    sent = broadcast_rows(spark, lambda: kept.extend(r.doc_id for r in corpus_pipeline.near_duplicates(spark, small_broadcasts, "").collect()))
+    assert sorted(kept) == list(range(300)) and max(sent, default=0) <= 2 * 330
+
+
 def test_mixing(docs, odd, empty):
     out = mixing.mix(docs, mixing.domain_of(F.col("source")), fraction=1.0, epochs=1)
     assert set(out.columns) == set(docs.columns) and {r.doc_id for r in out.collect()} <= {r[0] for r in odd} and out.count() >= len(odd) - 3
