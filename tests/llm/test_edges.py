@@ -152,6 +152,12 @@ def test_pipeline_broadcasts_no_bands(spark, small_broadcasts):
     assert sorted(kept) == list(range(300)) and max(sent, default=0) <= 2 * 330
 
 
+def test_near_duplicates_broadcast_no_bands(spark, small_broadcasts):
+    got = []
+    sent = broadcast_rows(spark, lambda: got.extend(near_dup.near_duplicates(small_broadcasts).collect()))
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i in [*range(300), *range(1000, 1030)]} and max(sent, default=0) <= 2 * 330
+
+
 def test_mixing(docs, odd, empty):
     out = mixing.mix(docs, mixing.domain_of(F.col("source")), fraction=1.0, epochs=1)
     assert set(out.columns) == set(docs.columns) and {r.doc_id for r in out.collect()} <= {r[0] for r in odd} and out.count() >= len(odd) - 3
