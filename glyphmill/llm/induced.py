@@ -340,44 +340,72 @@ def _doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(names)
     count = np.bincount(names)
-    rank = (np.cumsum(count) - count)[names].astype(np.int32)
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    rank = np.full(n + max(1, depth), -1, np.int32)  # behind the end there is nothing, which is smaller than all
+    rank[:n] = (np.cumsum(count) - count)[names]
     left = np.flatnonzero(count[names] > 1)
+    mine = rank[left]
     width, ranks = 1, [rank]
     while len(left) and width < depth:
-        nxt = np.full(len(left), -1, np.int64)
-        ahead = left + width
-        inside = ahead < n
-        nxt[inside] = rank[ahead[inside]]
-        key = rank[left].astype(np.int64) * (n + 1) + nxt + 1
-        order = np.argsort(key, kind="stable")
-        left, key = left[order], key[order]
-        old = rank[left]
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.arange(len(left))
-        first = np.maximum.accumulate(np.where(group, at, 0))
-        head = np.maximum.accumulate(np.where(fresh, at, 0))
+        key = mine.astype(np.int64) << bits
+        key |= rank[left + width] + 1
+        if 3 * bits < 64:  # rank, next rank and place in one number, which sorts without an index
+            key <<= bits
+            key |= left
+            key.sort()
+            left = key & low
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            left, key = left[order], key[order]
+        old = (key >> bits).astype(np.int32)
+        fresh = np.empty(len(left) + 1, bool)
+        fresh[0] = fresh[-1] = True
+        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
+        heads = np.flatnonzero(fresh)  # of groups of equal pairs, with the end
+        size = np.diff(heads)
+        old = old[heads[:-1]]
+        first = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+        old += heads[:-1] - np.repeat(heads[first], np.diff(np.append(first, len(old))))
+        mine = np.repeat(old, size)
         rank = rank.copy()
-        rank[left] = old + (head - first)
-        alone = fresh & np.append(fresh[1:], True)
-        left = left[~alone]
+        rank[left] = mine
+        shared = np.repeat(size > 1, size)
+        left, mine = left[shared], mine[shared]
         ranks.append(rank)
         width *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank[:n].astype(np.int64) << bits | np.arange(n))
     shared = np.zeros(n, np.int64)
     if n > 1:
-        a, b = order[:-1], order[1:]
-        off = np.zeros(n - 1, np.int64)
+        a, b = order[:-1].copy(), order[1:].copy()
         for k in range(len(ranks) - 1, -1, -1):
-            x, y = a + off, b + off
-            ok = (x < n) & (y < n)
-            same = np.zeros(n - 1, bool)
-            same[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
-            off[same] += 1 << k
-        shared[1:] = off
+            here = ranks[k][a]
+            step = (((here == ranks[k][b]) & (here >= 0)).astype(np.int64)) << k
+            a += step
+            b += step
+        shared[1:] = a - order[:-1]
     return order, shared
 
 
+def _words(t, seeds, size: int, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """The first characters of each seed's piece in one number, and how many they are; what is behind the piece counts as 0."""
+    bits = max(1, int(size - 1).bit_length())
+    most, m = 62 // bits, len(seeds)
+    most = min(most, 6)
+    words = scratch.empty(m, np.int64)
+    for a in range(0, m, 1 << 20):
+        s = np.asarray(seeds[a : a + (1 << 20) + 1]).astype(np.int64)
+        size_of = np.diff(np.append(s, len(t) - 1) if len(s) <= 1 << 20 else s) + 1
+        s = s[: len(size_of)]
+        word = np.zeros(len(s), np.int64)
+        for step in range(most):
+            word <<= bits
+            word |= np.where(step < size_of, t[np.minimum(s + step, len(t) - 1)], 0)
+        words[a : a + len(s)] = word
+    return words, most
+
+
 def _seeds_in_order(t, up, seeds, size: int, cap: int, scratch: Scratch, carries: bool = True):
     """The S* in ascending order and each one's common prefix with the one before it."""
     m, place = len(seeds), seeds.dtype
@@ -405,14 +433,16 @@ def _seeds_in_order(t, up, seeds, size: int, cap: int, scratch: Scratch, carries
         index[seeds[a : a + (1 << 20)]] = np.arange(a, min(m, a + (1 << 20)))
     names = scratch.empty(m, np.int64)
     count = 0
+    words, most = _words(t, seeds, size, scratch)
     for a in range(0, m, 1 << 20):  # pieces run from one seed to the next, both included; equal ones are neighbours
         s = np.asarray(order[max(0, a - 1) : a + (1 << 20)]).astype(np.int64)
         k = np.asarray(index[s]).astype(np.int64)
         end = np.where(k + 1 < m, seeds[np.minimum(k + 1, m - 1)], len(t) - 1)
         size_of = end - s + 1
-        like = size_of[:-1] == size_of[1:]
+        word = words[k]
+        like = (size_of[:-1] == size_of[1:]) & (word[:-1] == word[1:])
         pair = np.flatnonzero(like)
-        step = 0
+        step = most
         while len(pair):
             pair = pair[step < size_of[pair]]
             bad = t[s[pair] + step] != t[s[pair + 1] + step]

@@ -290,6 +290,37 @@ def test_induced_sorting_against_brute_force(monkeypatch):
             assert common[k] == n
 
 
+def test_names_in_memory_are_sorted_as_numbers(monkeypatch):
+    """Ranks travel with their places in one number, so that only the last order needs an index; strings too long for that give the same."""
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda a, *x, **y: (sorted_.append(len(a)), argsort(a, *x, **y))[1])
+    rng = np.random.default_rng(4)
+    for n, numbers in ((50_000, True), (1 << 21, False)):
+        names = rng.integers(0, 12, n)
+        sorted_.clear()
+        order, shared_ = induced._doubled(names, 4)
+        assert not numbers or sum(sorted_) == n
+        ahead = np.concatenate([names + 1, np.zeros(3, np.int64)])
+        key = sum(ahead[k : k + n] * 13 ** (3 - k) for k in range(4))
+        assert (order == argsort(key, kind="stable")).all()
+        a, b, common, same = order[1:], order[:-1], np.zeros(n - 1, np.int64), np.ones(n - 1, bool)
+        for k in range(4):
+            same &= (ahead[a + k] == ahead[b + k]) & (ahead[a + k] > 0)
+            common += same
+        assert (np.minimum(shared_[1:], 4) == common).all()
+
+
+def test_pieces_longer_than_a_word():
+    """Long rising pieces that differ in their last character only, in their length only, or not at all."""
+    rng = random.Random(6)
+    parts = [[*range(2, 2 + rng.choice([4, 6, 7, 20])), rng.choice([30, 31, 300]), 1] for _ in range(300)]
+    t = np.array([c for p in parts for c in p] + [0], dtype=np.uint16)
+    with induced.Scratch() as scratch:
+        order = np.concatenate([p.copy() for p, _ in induced.suffixes(t, 400, scratch)])
+    key = lambda i: tuple(t[i : i + 400])
+    assert [key(i) for i in order] == sorted(map(key, range(len(t))), reverse=True)
+
+
 def test_shard_beyond_its_memory():
     """Text and queues far beyond the limits: a megabyte of text over limits of 10,000 bytes and 1,000 tuples."""
     rng = random.Random(8)
