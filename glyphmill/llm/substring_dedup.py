@@ -18,6 +18,8 @@ and if an id repeats, spans found in any of its rows apply to each; an empty tab
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ GRAM = 32
 SIDE = (PASSAGE - GRAM) // 2
 #: Bytes of a shard, about; contexts from which on a minimiser is parted by anchors.
 SHARD, HOT = 6_000_000, 4000
+#: Contexts whose names and places are in memory at once.
+PART = 1 << 14
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -157,29 +161,40 @@ SHIFT = (1 << 33) + 2
 
 
 class Shard:
-    """The text of a shard, added context by context and held in a file; its repeated starts by an external sort."""
+    """The text of a shard, added context by context and held in a file, as are the contexts' names; its repeated starts by an external sort, marked in an array over the text."""
 
     def __init__(self, scratch):
-        self.scratch, self.file = scratch, scratch.file()
+        self.scratch, self.file, self.log = scratch, scratch.file(), None
         self.size = 0
-        self.begin: list[int] = []
-        self.starts: list[int] = []
-        self.names: list[tuple] = []
+        self.lengths: list[int] = []
+        self.last: list[tuple] = []
 
     def add(self, name: tuple, starts: int, body: bytes) -> None:
-        self.begin.append(self.size)
-        self.starts.append(starts)
-        self.names.append(name)
+        self.last.append((self.size, self.size + len(body), starts, name))
         self.file.write(body + b"\0")
         self.size += len(body) + 1
-
-    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the context, start in it and bytes in common with another start, of each start with PASSAGE bytes that also start elsewhere, in order."""
+        if len(self.last) >= PART:
+            self.log = self.log or self.scratch.file()
+            data = pickle.dumps(self.last)
+            self.log.write(data)
+            self.lengths.append(len(data))
+            self.last = []
+
+    def parts(self):
+        """The contexts in order by lists of (begin, end, starts, name)."""
+        at = 0
+        for length in self.lengths:
+            self.log.seek(at)
+            yield pickle.loads(self.log.read(length))
+            at += length
+        if self.last:
+            yield self.last
+
+    def marked(self) -> np.ndarray:
+        """Bytes in common with another start, for each start with PASSAGE bytes that also start elsewhere; 0 at other places."""
         from .induced import suffixes
 
         n = self.size + 1
-        begin, starts = np.array(self.begin), np.array(self.starts)
-        ends = np.append(begin[1:], self.size) - 1
         t, own = self.scratch.empty(n, np.uint16), self.scratch.empty(n, bool)
         self.file.seek(0)
         at = 0
@@ -187,10 +202,11 @@ class Shard:
             t[at : at + len(data)] = np.frombuffer(data, np.uint8).astype(np.uint16) + 2
             at += len(data)
         self.file.close()
-        for b, k, e in zip(self.begin, self.starts, ends.tolist()):
-            own[b : b + k] = True
-            t[e] = 1
-        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in self.parts():
+            for b, e, k, _ in part:
+                own[b : b + k] = True
+                t[e] = 1
+        marks = self.scratch.empty(n, np.int16)
         before, low = -1, 0
         for p, common in suffixes(t, WINDOW, self.scratch):
             common = common.copy()
@@ -204,36 +220,46 @@ class Shard:
             mine = p[keep].astype(np.int64)
             prev = np.concatenate([[before], mine[:-1]])
             found = np.flatnonzero((least >= PASSAGE) & (prev >= 0))
-            if len(found):
-                hits.append((np.concatenate([mine[found], prev[found]]), np.tile(least[found], 2)))
+            for x in (mine[found], prev[found]):
+                marks[x] = np.maximum(marks[x], least[found])
             before = int(mine[-1])
             rest = common[keep[-1] + 1 :]
             low = int(rest.min()) if len(rest) else WINDOW
-        none = np.zeros(0, np.int64)
-        if not hits:
-            return none, none, none
-        places, common = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
-        order = np.argsort(places, kind="stable")
-        places, common = places[order], common[order]
-        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        places, common = places[first], np.maximum.reduceat(common, first)
-        home = np.searchsorted(begin, places, side="right") - 1
-        common = np.minimum(common, ends[home] - places)  # nothing counts beyond the end of a context
-        keep = common >= PASSAGE
-        return home[keep], (places - begin[home])[keep], common[keep]
-
-    def spans(self) -> list[tuple[tuple, list[int]]]:
-        """(name, packed spans) of each context that has any."""
-        home, starts, common = self.repeated()
-        wide = common >= WINDOW
-        h1, s1 = packed(home[wide], starts[wide], WINDOW, True)
-        h0, s0 = packed(home, starts, PASSAGE, False)
-        homes, both = np.concatenate([h1, h0]), np.concatenate([s1, s0])
-        order = np.argsort(homes, kind="stable")
-        homes, both = homes[order], both[order].tolist()
-        first = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])) if len(homes) else homes
-        bounds = [*first.tolist(), len(both)]
-        return [(self.names[k], both[a:b]) for k, a, b in zip(homes[first].tolist(), bounds[:-1], bounds[1:])]
+        return marks
+
+    def found(self):
+        """By lists of contexts: the list, and number of the context in it, start in it and bytes in common with another start, of each repeated start in order."""
+        marks = self.marked()
+        for part in self.parts():
+            begin, ends = np.array([x[0] for x in part]), np.array([x[1] for x in part])
+            here = np.asarray(marks[begin[0] : ends[-1]])
+            at = np.flatnonzero(here)
+            places = at + begin[0]
+            home = np.searchsorted(begin, places, side="right") - 1
+            common = np.minimum(here[at], ends[home] - places)  # nothing counts beyond the end of a context
+            keep = common >= PASSAGE
+            yield part, home[keep], (places - begin[home])[keep], common[keep]
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the context, start in it and bytes in common with another start, of each start with PASSAGE bytes that also start elsewhere, in order."""
+        none, number, out = np.zeros(0, np.int64), 0, []
+        for part, home, starts, common in self.found():
+            out.append((home + number, starts, common))
+            number += len(part)
+        return tuple(np.concatenate([none, *c]) for c in zip(*out)) if out else (none, none, none)
+
+    def spans(self):
+        """By lists: (name, packed spans) of each context that has any."""
+        for part, home, starts, common in self.found():
+            wide = common >= WINDOW
+            h1, s1 = packed(home[wide], starts[wide], WINDOW, True)
+            h0, s0 = packed(home, starts, PASSAGE, False)
+            homes, both = np.concatenate([h1, h0]), np.concatenate([s1, s0])
+            order = np.argsort(homes, kind="stable")
+            homes, both = homes[order], both[order].tolist()
+            first = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])) if len(homes) else homes
+            bounds = [*first.tolist(), len(both)]
+            yield [(part[k][3], both[a:b]) for k, a, b in zip(homes[first].tolist(), bounds[:-1], bounds[1:])]
 
 
 def trimmed(starts: int, at: int, body: bytes, left: bool, right: bool) -> tuple[int, int, bytes]:
@@ -281,9 +307,9 @@ def _sort_shards(batches):
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def done(shard):
-        found = shard.spans()
-        spans = [[x + front * SHIFT for x in xs] if front else xs for (_, _, front), xs in found]
-        return pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], kinds[0]), pa.array([f[0][1] for f in found], kinds[1]), pa.array(spans, kinds[2])], ["hash", "digest", "spans"])
+        for found in shard.spans():
+            spans = [[x + front * SHIFT for x in xs] if front else xs for (_, _, front), xs in found]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], kinds[0]), pa.array([f[0][1] for f in found], kinds[1]), pa.array(spans, kinds[2])], ["hash", "digest", "spans"])
 
     current = shard = scratch = last = None
     group: list[tuple] = []  # a minimiser's contexts, HOT at most; of an anchor's the first one, which waits for a second
@@ -303,8 +329,8 @@ def _sort_shards(batches):
         for number, anchor, *context in rows():
             if number != current:
                 flush()
-                if shard is not None and shard.names:
-                    yield done(shard)
+                if shard is not None and shard.size:
+                    yield from done(shard)
                 if scratch is not None:
                     scratch.__exit__()
                 scratch = Scratch()
@@ -320,8 +346,8 @@ def _sort_shards(batches):
                     add(number % 3, *group.pop())
                 add(number % 3, *context)
         flush()
-        if shard is not None and shard.names:
-            yield done(shard)
+        if shard is not None and shard.size:
+            yield from done(shard)
     finally:
         if scratch is not None:
             scratch.__exit__()

@@ -342,6 +342,30 @@ def test_shard_beyond_its_memory():
             assert found.get(k, (set(), set()))[which] == {i for i in range(len(p) - width + 1) if count[p[i : i + width]] > 1}
 
 
+def test_shard_keeps_names_and_hits_out_of_memory(monkeypatch):
+    """Half a million repeated starts of 10,000 contexts, over limits of 10,000 bytes: what is held doesn't grow with them. The sort itself is left out here."""
+    import tracemalloc
+
+    def suffixes(t, cap, scratch):
+        for a in range(0, len(t), 1 << 14):
+            p = np.arange(a, min(len(t), a + (1 << 14)), dtype=np.int32)
+            yield p, np.full(len(p), cap, np.int16)
+
+    monkeypatch.setattr(induced, "suffixes", suffixes)
+    monkeypatch.setattr(substring_dedup, "PART", 100, raising=False)
+    body, held = b"x" * 449, induced.Scratch(10_000, 1_000)
+    shard = substring_dedup.Shard(held)
+    tracemalloc.start()
+    with held:
+        for k in range(10_000):
+            shard.add((k, b"%016d" % k, 0), 50, body)
+        named = sum(len(x) if isinstance(x, list) else 1 for x in shard.spans())
+        peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert named == 10_000
+    assert peak < 15_000_000
+
+
 def removed(raws):
     count = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
     for raw in raws:
