@@ -1,7 +1,10 @@
 """Every rule on its isolated sentence, switched off, applied twice, and guards."""
 
+import random
+
 import pytest
 
+from glyphmill.plans import catalogue
 from glyphmill.plans.cases import CASES
 from glyphmill.plans.config import Config, ConfigError, selected
 from glyphmill.plans.engine import RuleGroup, Typesetter
@@ -110,3 +113,16 @@ def test_line_indents_stay(spark):
     assert run(spark, "а\r\n   - б\r   в  г") == "а\n   — б\n   в г".replace("— ", f"—{NB}")
     got = run(spark, "<ul>\n    <li>5-6  к</li>\n    <li\n      class='x'>в</li>\n</ul>", html=True)
     assert "\n    <li>5–6 к</li>\n    <li\n      class='x'>в</li>\n</ul>" in got
+
+
+def test_plain_oracle_keeps_indents(spark, tmp_path):
+    """The oracle of typeset_plain_documents and the query on texts of blanks, tabs and line breaks, which the tables' documents don't begin lines with."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(1)
+    rows = list(enumerate("".join(rng.choice(" \t\nаб ") for _ in range(rng.randint(0, 25))) for _ in range(1000)))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {tuple(r) for r in catalogue.queries()["typeset_plain_documents"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == set(con.execute(catalogue.oracle_sql()["typeset_plain_documents"]).fetchall())
